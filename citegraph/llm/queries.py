@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm import curriculum, imatch, packing, simhash, sql, url_reputation
+from citegraph.llm import curriculum, imatch, packing, simhash, sql, substring_dedup, url_reputation
 from citegraph.llm.common import Scratch
 
 URL_RULES = (
@@ -42,6 +42,11 @@ def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "substrings"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ref"), (1 - F.col("quality")).alias("bad"))
     judged = url_reputation.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
@@ -53,10 +58,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op7_curriculum": op7_curriculum,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_url_reputation": op10_url_reputation,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_curriculum": sql.CURRICULUM,
+    "op8_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_url_reputation": sql.URL_REPUTATION,
 }

@@ -83,3 +83,24 @@ SELECT page_id, ruled.host AS host, path, hit.rule AS rule,
        coalesce(hit.verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled JOIN judged USING (host)
 """
+
+SUBSTRING_DEDUP = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM docs WHERE len(words) >= 20),
+windows AS (
+  SELECT doc_id, s, array_to_string(words[s:s + 19], ' ') AS run FROM starts),
+later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS turn FROM windows) WHERE turn > 1),
+covered AS (
+  SELECT DISTINCT doc_id, s + i AS p FROM later, range(0, 20) AS steps(i)),
+each AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM docs WHERE len(words) > 0),
+kept AS (
+  SELECT each.doc_id AS doc_id, count(covered.p) AS n_removed, string_agg(word, ' ' ORDER BY each.p) FILTER (covered.p IS NULL) AS text
+  FROM each LEFT JOIN covered ON each.doc_id = covered.doc_id AND each.p = covered.p GROUP BY each.doc_id)
+SELECT docs.doc_id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id
+"""
