@@ -2,10 +2,11 @@
 
 Terms are lower-cased runs of letters, digits and non-ASCII bytes. The lexicon holds the terms whose document
 frequency lies in a band (inverse document frequency neither too low nor too high), counted over all
-documents. A fingerprint is a list of 32 hashes, one for each randomised subset of the lexicon: the sorted distinct terms of
+documents. A fingerprint is a list of 48 hashes, one for each randomised subset of the lexicon: the sorted distinct terms of
 the text that the subset keeps, hashed together. Subsets keep 1/2, 1/8, 1/32 or 1/128 of the lexicon
-(eight each), so that texts of a dozen and of thousands of terms both find subsets of a few terms.
-Likeness of two fingerprints: equal hashes as a share of the subsets in which either text has a term.
+(twelve each), so that texts of a dozen and of thousands of terms both find subsets of a few terms.
+Likeness of two fingerprints: for each rate, equal hashes as a share of the subsets in which either text has a term;
+the largest share among rates with at least four such subsets (of all subsets together, if no rate has four).
 
 The lexicon is bounded: a term in at least ``least`` of all documents takes that share of the
 document-term pairs, so there are at most (mean terms of a document) / ``least`` of them, 8 bytes each.
@@ -31,7 +32,7 @@ from citegraph.llm.common import NULL_ID, TermHash, frequent_terms, map_arrow, r
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 RATES = (1, 3, 5, 7)  # a subset keeps 2**-rate of the lexicon
-EACH = 8
+EACH = 12
 #: Document share of lexicon terms: at least one in 10,000 documents (and two of them), at most one in 20.
 LEAST, MOST = 1e-4, 0.05
 EMPTY = "-"
@@ -73,8 +74,11 @@ def likeness(a: str, b: str) -> float:
         return 1.0
     if a[0] == "=" or b[0] == "=":
         return 0.0
-    pairs = [(x, y) for x, y in zip(a.split("."), b.split(".")) if x != EMPTY or y != EMPTY]
-    return sum(x == y for x, y in pairs) / len(pairs)
+    pairs = list(zip(a.split("."), b.split(".")))
+    by_rate = [[x == y for x, y in pairs[i : i + EACH] if x != EMPTY or y != EMPTY] for i in range(0, len(pairs), EACH)]
+    shares = [sum(p) / len(p) for p in by_rate if len(p) >= 4]
+    together = [x for p in by_rate for x in p]
+    return max(shares) if shares else sum(together) / max(1, len(together))
 
 
 def lexicon(documents: DataFrame, least: float = LEAST, most: float = MOST) -> np.ndarray:
