@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm import curriculum, imatch, packing, simhash, sql, substring_dedup, url_reputation
+from citegraph.llm import curriculum, imatch, line_dedup, packing, simhash, sql, substring_dedup, url_reputation
 from citegraph.llm.common import Scratch
 
 URL_RULES = (
@@ -37,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), Scratch(spark, "lines"))
+
+
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = curriculum.plan(table(spark, sf_dir, "documents"), Scratch(spark, "curriculum"))
     return planned.select("doc_id", "size", "source_size", "target", "taken")
@@ -57,12 +61,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_imatch": op2_imatch,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
+    "op6_line_dedup": op6_line_dedup,
     "op7_curriculum": op7_curriculum,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_url_reputation": op10_url_reputation,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": sql.LINE_DEDUP,
     "op7_curriculum": sql.CURRICULUM,
     "op8_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_url_reputation": sql.URL_REPUTATION,

@@ -104,3 +104,30 @@ SELECT docs.doc_id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coales
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM docs LEFT JOIN kept ON docs.doc_id = kept.doc_id
 """
+
+LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n FROM documents),
+sets AS (
+  SELECT doc_id, n, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS tokens FROM lines),
+classes AS (
+  SELECT tokens, len(tokens) AS size, min(struct_pack(d := doc_id, l := n)) AS first, row_number() OVER (ORDER BY min(struct_pack(d := doc_id, l := n))) AS c
+  FROM sets WHERE len(tokens) > 0 GROUP BY tokens),
+each AS (SELECT c, size, unnest(tokens) AS token FROM classes),
+counts AS (SELECT token, count(*) AS f FROM each GROUP BY token),
+prefixes AS (
+  SELECT c, size, token FROM (
+    SELECT c, size, token, row_number() OVER (PARTITION BY c ORDER BY f, token) AS place FROM each JOIN counts USING (token))
+  WHERE place <= size - CAST(ceil(size * 4 / 5) AS BIGINT) + 1),
+pairs AS (
+  SELECT DISTINCT x.c AS a, y.c AS b FROM prefixes x JOIN prefixes y ON x.token = y.token AND x.c < y.c AND 5 * x.size >= 4 * y.size AND 5 * y.size >= 4 * x.size),
+matched AS (
+  SELECT DISTINCT y.c AS c FROM pairs JOIN classes x ON x.c = a JOIN classes y ON y.c = b
+  WHERE 9 * len(list_intersect(x.tokens, y.tokens)) >= 4 * (x.size + y.size)),
+gone AS (
+  SELECT doc_id, n FROM sets JOIN classes USING (tokens)
+  WHERE struct_pack(d := doc_id, l := n) <> first OR c IN (SELECT c FROM matched))
+SELECT lines.doc_id AS doc_id, count(*) AS n_lines, count(gone.n) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY lines.n) FILTER (gone.n IS NULL), '') AS text
+FROM lines LEFT JOIN gone ON lines.doc_id = gone.doc_id AND lines.n = gone.n GROUP BY lines.doc_id
+"""
