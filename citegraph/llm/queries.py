@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm import curriculum, imatch, line_dedup, packing, simhash, sql, substring_dedup, url_reputation
+from citegraph.llm import curriculum, imatch, line_dedup, packing, prefix_forest, simhash, sql, substring_dedup, url_reputation
 from citegraph.llm.common import Scratch
 
 URL_RULES = (
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, Scratch(spark, "forest"))
+
+
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_prefix_forest": op1_prefix_forest,
     "op2_imatch": op2_imatch,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
