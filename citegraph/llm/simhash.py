@@ -13,8 +13,9 @@ pointer jumping over those links, written to the shared folder each round.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other. Texts of
 fewer words than a shingle have one shingle, the whole sequence. Rows that repeat a doc_id are separate
-texts of one document: each keeps its row, and they share that document's component. A null doc_id
-is a document of its own, smaller than all others. Extra columns are ignored.
+texts of one document: each keeps its row, and they share that document's component. Rows with a null doc_id are
+documents of their own that name no component: one with no named member has a null component_id. Extra columns
+are ignored by ``near_duplicates`` and kept by ``without_near_copies``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.llm.common import NULL_ID, Scratch, as_signed, map_arrow, release_shuffles
@@ -271,10 +272,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
 def near_duplicates(documents: DataFrame, scratch: Scratch, words: int = 3, budget: int = 3) -> DataFrame:
     """documents(doc_id, text) -> doc_id, fp, component_id: the smallest doc_id reachable over links."""
     prints = scratch.write(fingerprints(documents, words).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "fp"), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).alias("first"))
     found = scratch.write(links(distinct, budget), "links")
     # Rows that repeat a doc_id with different texts tie their fingerprints together.
-    ties = prints.groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("a")).filter("a <> b").select("doc_id", "b")
+    ties = prints.filter(F.col("doc_id") != NULL_ID).groupBy("doc_id").agg(F.min("fp").alias("b"), F.max("fp").alias("a")).filter("a <> b").select("doc_id", "b")
     ties = prints.join(ties, "doc_id").filter("fp <> b").select(F.col("fp").alias("a"), "b")
     roots = components(found.union(ties), scratch)
     of_print = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -286,4 +287,19 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, words: int = 3, budg
     left = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     right = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return left.join(right, ["fp", "salt"]).select(real("doc_id"), "fp", real("component_id"))
+    return left.join(right, ["fp", "salt"]).select(real("doc_id"), "fp", "component_id")
+
+
+def without_near_copies(documents: DataFrame, scratch: Scratch, words: int = 5, budget: int = 3) -> DataFrame:
+    """The documents with all their columns, one (the smallest doc_id) of each component.
+
+    Rows that repeat the doc_id that stays are one document: its first text stays. Rows with a null doc_id all stay.
+    """
+    classes = near_duplicates(documents, scratch, words, budget)
+    gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
+    rows = documents.join(gone, "doc_id", "left_anti")
+    turn = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    again = classes.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
+    if again.isEmpty():  # the usual case spares the texts a shuffle
+        return rows.select(*documents.columns)
+    return rows.withColumn("__turn", F.row_number().over(turn)).filter("__turn = 1 or doc_id is null").select(*documents.columns)
