@@ -1,0 +1 @@
+"""Scalar functions: identifier grammar, source lines, globs and terminal-safe text."""

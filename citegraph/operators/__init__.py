@@ -1,0 +1 @@
+"""Relational operators over the parsed tables."""

@@ -1,0 +1 @@
+"""Plans that tie sources, the parsing stage and the relational rules together."""
