@@ -19,29 +19,34 @@ ordered by text; a null doc_id comes first. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import NULL_ID, TermHash, frequent_terms, map_arrow, release_shuffles
+from citegraph.llm.common import NULL_ID, TermHash, frequent_terms, map_arrow, positions_in, release_shuffles
 
-TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: What is no part of a term becomes a blank, so that bytes.split() finds the terms.
+_BLANKED = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 RATES = (1, 3, 5, 7)  # a subset keeps 2**-rate of the lexicon
 EACH = 12
 #: Document share of lexicon terms: at least one in 10,000 documents (and two of them), at most one in 20.
 LEAST, MOST = 1e-4, 0.05
 EMPTY = "-"
+SUBSETS = len(RATES) * EACH
+_hexed = xxhash.xxh32_hexdigest
 
 
 def terms(text: str | None, hashed: TermHash) -> np.ndarray:
     """Sorted distinct term hashes of a text."""
-    found = set(TERM.findall((text or "").lower().encode()))
-    return np.unique(np.fromiter(map(hashed.__getitem__, found), np.uint64, len(found)))
+    found = set((text or "").lower().encode().translate(_BLANKED).split())
+    own = np.fromiter(map(hashed.__getitem__, found), np.uint64, len(found))
+    own.sort()
+    return own
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -51,22 +56,37 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, lexicon: np.ndarray, hashed: TermHash) -> str:
+class Lexicon:
+    """Sorted term hashes, and for each term the set of subsets that keep it, as bits."""
+
+    def __init__(self, terms: np.ndarray) -> None:
+        self.terms = terms
+        self._subsets = None
+
+    def __reduce__(self):
+        return Lexicon, (self.terms,)
+
+    @property
+    def subsets(self) -> np.ndarray:
+        if self._subsets is None:
+            self._subsets = np.zeros(len(self.terms), np.uint64)
+            for i, rate in enumerate(r for r in RATES for _ in range(EACH)):
+                kept = (_mix(self.terms, i + 1) >> np.uint64(64 - rate)) == 0
+                self._subsets |= kept.astype(np.uint64) << np.uint64(i)
+        return self._subsets
+
+
+def fingerprint(text: str | None, lexicon: Lexicon, hashed: TermHash) -> str:
     """Hex hashes of the subsets, joined by dots; ``-`` for a subset without terms."""
     own = terms(text, hashed)
-    if len(lexicon) and len(own):
-        at = np.searchsorted(lexicon, own)
-        at[at == len(lexicon)] = 0
-        own = own[lexicon[at] == own]
-    else:
-        own = own[:0]
+    at, known = positions_in(lexicon.terms, own)
+    own, at = own[known], at[known]
     if not len(own):
         return "=" + hashlib.sha256((text or "").encode()).hexdigest()
-    parts = []
-    for i, rate in enumerate(r for r in RATES for _ in range(EACH)):
-        kept = own[(_mix(own, i + 1) >> np.uint64(64 - rate)) == 0]
-        parts.append(hashlib.blake2b(kept.tobytes(), digest_size=4).hexdigest() if len(kept) else EMPTY)
-    return ".".join(parts)
+    member = np.unpackbits(lexicon.subsets[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :SUBSETS].T.astype(bool)
+    kept = np.broadcast_to(own, member.shape)[member].tobytes()
+    ends = (8 * np.cumsum(member.sum(axis=1))).tolist()
+    return ".".join([_hexed(kept[a:b]) if b > a else EMPTY for a, b in zip([0, *ends], ends)])
 
 
 def likeness(a: str, b: str) -> float:
@@ -81,8 +101,8 @@ def likeness(a: str, b: str) -> float:
     return max(shares) if shares else sum(together) / max(1, len(together))
 
 
-def lexicon(documents: DataFrame, least: float = LEAST, most: float = MOST) -> np.ndarray:
-    """Sorted hashes of the terms within the band, counted over all documents."""
+def lexicon(documents: DataFrame, least: float = LEAST, most: float = MOST) -> Lexicon:
+    """The terms within the band, counted over all documents."""
     total = documents.count()
 
     def each(batch):
@@ -92,7 +112,7 @@ def lexicon(documents: DataFrame, least: float = LEAST, most: float = MOST) -> n
 
     low = max(least, 2 / max(1, total))
     found, _ = frequent_terms(documents.select(F.col("text").cast("string")), each, total, low, most)
-    return found
+    return Lexicon(found)
 
 
 def _by_range(documents: DataFrame, rows_each: int) -> DataFrame:
