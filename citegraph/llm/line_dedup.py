@@ -8,8 +8,8 @@ number of lines. Equal sets are one class, kept at its first line. Classes meet
 rarest size - ceil(0.8 size) + 1 tokens); length and positional filters drop most pairs, and what is left is verified on
 whole token sets by integer arithmetic. The frequency table is bounded by (mean tokens of a line) * 10,000 entries.
 
-Long lists never give all their pairs: a list of more than ``SHORT`` classes first offers each class just its earliest
-fitting predecessor. Only classes that this leaves unmatched are then held against the rest of their lists, so a swarm
+Long lists never give all their pairs: a list of more than ``LONG`` classes first offers each class just one earlier,
+fitting one. Only classes that this leaves unmatched are then held against the rest of their lists, so a swarm
 of near copies costs one pair each. Each slice of 8 MB of text settles its own equal lines before the shuffle.
 
 Defined cases: null and empty texts and blank lines are kept as they are. Rows that repeat doc_id and text lose the same lines;
@@ -19,21 +19,23 @@ Extra columns are ignored by ``dedup_lines`` and kept by ``without_repeated_line
 
 from __future__ import annotations
 
-import hashlib
 import uuid
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import NULL_ID, Scratch, TermHash, as_signed, frequent_terms, map_arrow, release_shuffles
+from citegraph.llm.common import NULL_ID, Scratch, as_signed, map_arrow, release_shuffles
 
 #: Jaccard similarity as a fraction.
 UP, DOWN = 4, 5
 LEAST = 1e-4
-SHORT = 32
-RARE = np.uint64(1 << 63)
+LONG = 1_000
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -41,229 +43,317 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
-def token_lists(text: bytes, hashed: TermHash):
-    """(line number, distinct token hashes) of the lines that have words."""
-    for number, line in enumerate(text.split(b"\n")):
-        words = line.split()
-        if words:
-            words = set(words)
-            yield number, np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
-
-
 def prefix_length(size: np.ndarray) -> np.ndarray:
     return size - -(-size * UP // DOWN) + 1
 
 
-def _token_rows(terms: np.ndarray, ranks: np.ndarray):
-    """Per line: its set's key and its tokens as signed codes in order of rarity (rare: negative hash; else rank)."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_counts(documents: DataFrame, scratch: Scratch, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all words that occur at least ``least`` times a line (and twice); each task adds up its own before the shuffle."""
+
+    def count(batches):
+        held: Counter = Counter()
+
+        def out():
+            words = list(held)
+            for i in range(0, len(words), 100_000):
+                part = words[i : i + 100_000]
+                yield {"term": pa.array(as_signed(np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part)))), "n": pa.array([held[w] for w in part], pa.int64())}
+            held.clear()
+
+        for batch in batches:
+            lines = 0
+            for text in batch.column(0).cast(pa.large_binary()):
+                text = text.as_py()
+                lines += text.count(b"\n") + 1
+                held.update(text.split())
+            if len(held) > 1_000_000:
+                yield from out()
+            yield {"term": pa.array([None], pa.int64()), "n": pa.array([lines], pa.int64())}
+        yield from out()
+
+    counts = scratch.write(map_arrow(documents, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "counts")
+    lines = counts.filter("term is null").agg(F.sum("n")).head()[0] or 0
+    kept = counts.filter((F.col("n") >= F.lit(max(least * lines, 2))) & F.col("term").isNotNull()).toArrow()
+    scratch.drop("counts")
+    return kept["term"].to_numpy(), kept["n"].to_numpy()
+
+
+class _Codes(dict):
+    """Word -> signed code: its rank if it is frequent (0 and up, rarest first), else its hash as a negative number."""
+
+    def __init__(self, ranks: dict[int, int]) -> None:
+        self.ranks = ranks
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        value = xxhash.xxh64_intdigest(word)
+        value -= (value >> 63) << 64
+        rank = self.ranks.get(value)
+        code = self[word] = (value | RARE) if rank is None else rank
+        return code
+
+
+RARE = -(1 << 63)
+_SET = ("k", "k2", "id", "tie", "line", "size", "s1", "s2", "rare", "tokens")
+_SET_SCHEMA = "k long, k2 long, id long, tie long, line int, size int, s1 long, s2 long, rare int, tokens binary"
+
+
+def _token_rows(ranks):
+    """Per line: its set's 128-bit key (k, k2), size, 128-bit signature, and its codes in order of rarity as bytes.
+
+    The bytes hold the ``rare`` negative codes in 8 bytes each, then the ranks in 4. A line that repeats one of the same slice has no key.
+    """
 
     def run(batches):
-        hashed = TermHash()
+        codes = _Codes(ranks.value)
         for batch in batches:
             ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            rows, numbers, sets = [], [], []
+            rows, numbers, sizes, sets = [], [], [], []
+            code = codes.__getitem__
             for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
-                for number, tokens in token_lists(text.as_py(), hashed):
-                    rows.append(i)
-                    numbers.append(number)
-                    sets.append(tokens)
+                for number, line in enumerate(text.as_py().split(b"\n")):
+                    parts = line.split()
+                    if parts:
+                        own = sorted(set(map(code, parts)))
+                        rows.append(i)
+                        numbers.append(number)
+                        sizes.append(len(own))
+                        sets.append(own)
             if not rows:
                 continue
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            flat = np.concatenate(sets)
-            codes = (flat | RARE).view(np.int64)
-            if len(terms):
-                at = np.searchsorted(terms, flat)
-                at[at == len(terms)] = 0
-                codes = np.where(terms[at] == flat, ranks[at], codes)
-            line = np.repeat(np.arange(len(sets)), sizes)
-            codes = codes[np.lexsort((codes, line))]
+            sizes = np.array(sizes)
             ends = np.cumsum(sizes)
-            keys = [hashlib.blake2b(codes[a:b].tobytes(), digest_size=8).digest() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-            key = np.frombuffer(b"".join(keys), np.int64)
+            flat = np.fromiter(chain.from_iterable(sets), np.int64, ends[-1])
+            begins = ends - sizes
+            mixed = _mix(flat.view(np.uint64))
+            k, k2 = (np.add.reduceat(x, begins).view(np.int64) for x in (mixed, _mix(mixed + np.uint64(1))))
+            bit = np.uint64(1) << (mixed & np.uint64(63))
+            high = (mixed & np.uint64(64)) > 0
+            s1, s2 = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), begins).view(np.int64) for x in (high, ~high))
+            rare = np.add.reduceat((flat < 0).astype(np.int64), begins)
             rows, numbers = np.array(rows), np.array(numbers, np.int32)
-            order = np.lexsort((numbers, ties[rows], ids[rows], key))
-            first = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])]
-            fresh = np.zeros(len(rows), bool)
-            fresh[first] = True
-            # Rows that are the first line itself, met again in an identical document, are no repeats.
-            group = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-            lead = first[group]
+            order = np.lexsort((numbers, ties[rows], ids[rows], k2, k))
+            new = np.concatenate([[True], (k[order][1:] != k[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
+            lead = order[new]
+            first = np.zeros(len(rows), bool)
+            first[lead] = True
+            # A line that is the first one itself, met again in an identical document, is no repeat.
+            at = lead[np.cumsum(new) - 1]
             twin = np.zeros(len(rows), bool)
-            twin[order] = (ids[rows][order] == ids[rows][lead]) & (ties[rows][order] == ties[rows][lead]) & (numbers[order] == numbers[lead])
-            keep = fresh | ~twin
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(codes))
-            out = [pa.array(key, mask=~fresh), pa.array(ids[rows]), pa.array(ties[rows]), pa.array(numbers), pa.array(np.where(fresh, sizes, 0).astype(np.int32))]
-            out.append(pa.compute.if_else(pa.array(fresh), tokens, pa.scalar(None, tokens.type)))
-            yield dict(zip(("k", "id", "tie", "line", "size", "tokens"), (c.filter(pa.array(keep)) for c in out)))
+            twin[order] = (ids[rows][order] == ids[rows][at]) & (ties[rows][order] == ties[rows][at]) & (numbers[order] == numbers[at])
+            keep = np.flatnonzero(first | ~twin)
+            wide, narrow = flat.tobytes(), np.maximum(flat, 0).astype(np.int32).tobytes()
+            tokens = [wide[8 * b : 8 * (b + r)] + narrow[4 * (b + r) : 4 * e] if f else None for b, r, e, f in zip(begins[keep].tolist(), rare[keep].tolist(), ends[keep].tolist(), first[keep].tolist())]
+            later = ~first[keep]
+            columns = (
+                pa.array(k[keep], mask=later), pa.array(k2[keep]), pa.array(ids[rows][keep]), pa.array(ties[rows][keep]), pa.array(numbers[keep]),
+                pa.array(np.where(later, 0, sizes[keep]).astype(np.int32)), pa.array(s1[keep]), pa.array(s2[keep]), pa.array(rare[keep].astype(np.int32)), pa.array(tokens, pa.binary()),
+            )
+            yield dict(zip(_SET, columns))
 
     return run
 
 
+def decoded(tokens: bytes, rare: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(tokens, np.int64, rare), np.frombuffer(tokens, np.int32, offset=8 * rare)])
+
+
 def _classes(batches):
-    """Rows sorted by (k, id, tie, line): the first of a key leads its class, the others are repeats (size 0)."""
-    last = None  # (k, id, tie, line) of the lead
+    """Rows sorted by (k, lone, k2, id, tie, line): the first of a key leads its class, the others are repeats (size 0, no tokens), as are lone rows."""
+    last = None  # (k, k2, id, tie, line) of the lead
     for batch in batches:
-        k = batch.column(0)
-        missing = np.asarray(k.is_null())
-        key = k.fill_null(0).to_numpy(zero_copy_only=False)
-        ids, ties, lines, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+        missing = batch.column(10).to_numpy(zero_copy_only=False)
+        values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        lead, twin = np.zeros(len(missing), bool), np.zeros(len(missing), bool)
         own = np.flatnonzero(~missing)
-        lead = np.zeros(len(key), bool)
-        twin = np.zeros(len(key), bool)
         if len(own):
-            kk = key[own]
-            new = np.concatenate([[last is None or kk[0] != last[0]], kk[1:] != kk[:-1]])
+            k, k2 = values[0][own], values[1][own]
+            new = np.concatenate([[last is None or (k[0], k2[0]) != last[:2]], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])])
+            lead[own[new]] = True
             group = np.cumsum(new) - 1
-            starts = own[new]
-            lead[starts] = True
-            for name, values in ((1, ids), (2, ties), (3, lines)):
-                base = np.where(group >= 0, values[starts[np.maximum(group, 0)]] if len(starts) else 0, last[name] if last else 0)
-                same = values[own] == base
-                twin[own] = same if name == 1 else twin[own] & same
-            at = starts[-1] if len(starts) else None
-            last = last if at is None else (key[at], ids[at], ties[at], lines[at])
-        keep = missing | lead | ~twin
-        tokens = pa.compute.if_else(pa.array(lead), batch.column(5), pa.scalar(None, batch.column(5).type))
-        out = (pa.array(key, mask=missing), batch.column(1), batch.column(2), batch.column(3), pa.array(np.where(lead, sizes, 0).astype(np.int32)), tokens)
-        yield dict(zip(("k", "id", "tie", "line", "size", "tokens"), (c.filter(pa.array(keep)) for c in out)))
+            twin[own] = True
+            for i in (2, 3, 4):
+                leads = values[i][own[new]]
+                base = np.where(group >= 0, leads[np.maximum(group, 0)] if len(leads) else 0, last[i] if last else 0)
+                twin[own] &= values[i][own] == base
+            if new.any():
+                last = tuple(v[own[new][-1]] for v in values[:5])
+        keep = pa.array(missing | lead | ~twin)
+        columns = list(batch.columns[:10])
+        columns[5] = pa.array(np.where(lead, values[5], 0).astype(np.int32))
+        columns[9] = pa.compute.if_else(pa.array(lead), columns[9], pa.scalar(None, pa.binary()))
+        yield dict(zip(_SET, (c.filter(keep) for c in columns)))
+
+
+#: ``at``: the size of the set, shifted by 32 bits, and the token's place in it.
+_ENTRY = ("token", "k", "id", "at", "s1", "s2")
+_ENTRY_SCHEMA = "token long, k long, id long, at long, s1 long, s2 long"
 
 
 def _prefixes(batches):
+    """One row for each token of a class's prefix, with its place."""
     for batch in batches:
-        size = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-        tokens = batch.column(3)
-        flat = tokens.values.to_numpy(zero_copy_only=False)
-        starts = tokens.offsets.to_numpy(zero_copy_only=False)[:-1].astype(np.int64)
-        count = prefix_length(size)
+        k, id_, size, s1, s2, rare = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        count = prefix_length(size.astype(np.int64))
         row = np.repeat(np.arange(len(size)), count)
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        yield {
-            "token": pa.array(flat[starts[row] + place]),
-            "k": pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row]),
-            "id": pa.array(batch.column(1).to_numpy(zero_copy_only=False)[row]),
-            "size": pa.array(size[row].astype(np.int32)),
-            "place": pa.array(place.astype(np.int32)),
-        }
-
-
-def _fits(s1, p1, s2, p2) -> np.ndarray:
-    """Length and positional filter: sizes s1 <= s2, the common token at places p1, p2 as their first common one."""
-    need = -(-UP * (s1 + s2) // (UP + DOWN))
-    return (DOWN * s1 >= UP * s2) & (1 + np.minimum(s1 - p1, s2 - p2) - 1 >= need)
-
-
-_ENTRY = ("token", "k", "id", "size", "place")
+        tokens = [decoded(t, r)[:n] for t, r, n in zip(batch.column(6).to_pylist(), rare.tolist(), count.tolist())]
+        columns = (np.concatenate(tokens), k[row], id_[row], (size.astype(np.int64)[row] << 32) | place, s1[row], s2[row])
+        yield dict(zip(_ENTRY, map(pa.array, columns)))
+
+
+def _fits(rows, i, j) -> np.ndarray:
+    """Filters for entries i before j in order of size: length, position (as first common token), and the overlap the signatures allow."""
+    small, large = rows["size"][i], rows["size"][j]
+    need = -(-UP * (small + large) // (UP + DOWN))
+    fit = (DOWN * small >= UP * large) & (np.minimum(small - rows["place"][i], large - rows["place"][j]) >= need)
+    apart = sum(np.bitwise_count((rows[s][i] ^ rows[s][j]).view(np.uint64)).astype(np.int64) for s in ("s1", "s2"))
+    return fit & (small + large - apart >= 2 * need) & (rows["k"][i] != rows["k"][j])
+
+
+def _oriented(rows, i, j) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' keys, the class of the earlier document first; both ways if one document has both."""
+    id_, k = rows["id"], rows["k"]
+    swap, same = id_[i] > id_[j], id_[i] == id_[j]
+    first, second = np.where(swap, k[j], k[i]), np.where(swap, k[i], k[j])
+    return np.concatenate([first, second[same]]), np.concatenate([second, first[same]])
+
+
+def _columns(batch, names) -> dict:
+    rows = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
+    return rows | {"size": rows["at"] >> 32, "place": rows["at"] & 0xFFFFFFFF}
+
+
+def _windows(rows, chunk: int = 500_000):
+    """All fitting pairs (i, j) of entries sorted by (token, at): for each j the earlier ones of its list whose size is near enough
+    and whose token lies in the part of the prefix that a smaller or equal set needs."""
+    token, size, place = rows["token"], rows["size"], rows["place"]
+    n = len(token)
+    index = np.flatnonzero(place < size - -(-2 * UP * size // (UP + DOWN)) + 1)
+    number = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]]))
+    key = (number << 32) | size
+    low = np.searchsorted(index, np.searchsorted(key, (number << 32) | -(-UP * size // DOWN)))
+    high = np.searchsorted(index, np.arange(n))
+    count = np.maximum(high - low, 0)
+    done = np.concatenate([[0], np.cumsum(count)])
+    begin = 0
+    while begin < n:
+        end = max(int(np.searchsorted(done, done[begin] + chunk, side="right")) - 1, begin + 1)
+        c = count[begin:end]
+        j = np.repeat(np.arange(begin, end), c)
+        i = index[np.repeat(low[begin:end] - (done[begin:end] - done[begin]), c) + np.arange(c.sum())]
+        fit = _fits(rows, i, j)
+        yield i[fit], j[fit]
+        begin = end
+
+
+def _by_lists(batches, names, going_on):
+    """Batches of sorted rows cut at the ends of lists; a list beyond LONG rows comes in several parts, with ``going_on(rows)`` for each but the last."""
+    carry = None
+    for batch in batches:
+        rows = _columns(batch, names)
+        if carry is not None:
+            rows = {n: np.concatenate([carry[n], rows[n]]) for n in rows}
+        cut = int(np.searchsorted(rows["token"], rows["token"][-1]))
+        if cut:
+            yield {n: v[:cut] for n, v in rows.items()}
+        carry = {n: v[cut:] for n, v in rows.items()}
+        if len(carry["token"]) > LONG:
+            going_on.add(int(carry["token"][0]))
+            yield carry
+            carry = {n: v[:0] for n, v in carry.items()}
+    if carry is not None and len(carry["token"]):
+        yield carry
 
 
 def _candidates(batches):
-    """Entries sorted by (token, size): pairs of short lists; for long ones each class's earliest predecessor, and the entries once more (b null)."""
-    carry, best = None, {}
-    for batch in batches:
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if carry is not None:
-            rows = [np.concatenate(x) for x in zip(carry, rows)]
-        cut = np.searchsorted(rows[0], rows[0][-1]) if rows[0][0] != rows[0][-1] else 0
-        yield from _lists([x[:cut] for x in rows], best)
-        carry = [x[cut:] for x in rows]
-        if len(carry[0]) > 50_000:  # a long list goes on: what matters of its beginning is in ``best``
-            yield from _lists(carry, best, going_on=True)
-            carry = [x[:0] for x in carry]
-    if carry is not None:
-        yield from _lists(carry, best)
-
-
-def _lists(rows, best, going_on=False):
-    token, k, ids, size, place = rows
-    if not len(token):
-        return
-    size, place = size.astype(np.int64), place.astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    counts = np.diff(np.append(starts, len(token)))
-    long_ = (counts > SHORT) | going_on
-    if best and token[0] in best:
-        long_[0] = True
-    short = np.repeat(~long_, counts)
-    a, b = [], []
-    at = np.flatnonzero(short)
-    for step in range(1, SHORT):
-        at = at[at + step < len(token)]
-        at = at[token[at] == token[at + step]]
-        if not len(at):
-            break
-        good = at[_fits(size[at], place[at], size[at + step], place[at + step])]
-        a.append(k[good])
-        b.append(k[good + step])
-    again = []
-    for start, count in zip(starts[long_].tolist(), counts[long_].tolist()):
-        seen = best.pop(int(token[start]), {})
-        best.clear()
-        for s in np.unique(size[start : start + count]).tolist():
-            own = start + np.flatnonzero(size[start : start + count] == s)
-            lead = own[np.argmin(ids[own])]
-            if s not in seen or ids[lead] < seen[s][0]:
-                seen[s] = (int(ids[lead]), int(k[lead]))
-            chosen = min(v for z, v in seen.items() if DOWN * z >= UP * s)[1]
-            other = own[k[own] != chosen]
-            a.append(np.full(len(other), chosen))
-            b.append(k[other])
-        best[int(token[start])] = seen
-        again.append(np.arange(start, start + count))
-    if not going_on and best and not long_[-1]:
-        best.clear()
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    again = np.concatenate(again) if again else np.zeros(0, np.int64)
-    pair = np.concatenate([np.ones(len(a), bool), np.zeros(len(again), bool)])
-    pad = lambda x: np.concatenate([np.zeros(len(a), x.dtype), x[again]])
-    yield {
-        "a": pa.array(np.concatenate([a, k[again]])),
-        "b": pa.array(np.concatenate([b, np.zeros(len(again), np.int64)]), mask=~pair),
-        "token": pa.array(pad(token), mask=pair),
-        "id": pa.array(pad(ids), mask=pair),
-        "size": pa.array(pad(size.astype(np.int32)), mask=pair),
-        "place": pa.array(pad(place.astype(np.int32)), mask=pair),
-    }
+    """Entries sorted by (token, at): fitting pairs (a, b); of lists beyond LONG rows each class with one earlier one alone, and the entries once more (b null)."""
+    long_lists: set[int] = set()
+    leads: dict[int, dict] = {}  # of the long list in hand: by size, the entry of the earliest document
+    kinds = dict.fromkeys(_ENTRY, np.int64)
+    for rows in _by_lists(batches, _ENTRY, long_lists):
+        token = rows["token"]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        counts = np.diff(np.append(starts, len(token)))
+        long_ = (counts > LONG) | np.isin(token[starts], list(long_lists))
+        short = np.flatnonzero(np.repeat(~long_, counts))
+        a, b, again = [], [], []
+        if len(short):
+            part = {n: v[short] for n, v in rows.items()}
+            for i, j in _windows(part):
+                for side, keys in zip((a, b), _oriented(part, i, j)):
+                    side.append(keys)
+        for start, count in zip(starts[long_].tolist(), counts[long_].tolist()):
+            part = {n: v[start : start + count] for n, v in rows.items()}
+            if leads.get("token") != int(token[start]):
+                leads.clear()
+                leads["token"] = int(token[start])
+            for s in np.unique(part["size"]).tolist():
+                own = np.flatnonzero(part["size"] == s)
+                first = own[np.argmin(part["id"][own])]
+                entry = {n: v[first : first + 1] for n, v in part.items()}
+                if s not in leads or entry["id"][0] < leads[s]["id"][0]:
+                    leads[s] = entry
+                lead = min((v for z, v in leads.items() if z != "token" and DOWN * z >= UP * s), key=lambda v: v["id"][0])
+                both = {n: np.concatenate([lead[n], part[n][own]]) for n in part}
+                i, j = np.zeros(len(own), np.int64), np.arange(1, len(own) + 1)
+                good = _fits(both, i, j)
+                for side, keys in zip((a, b), _oriented(both, i[good], j[good])):
+                    side.append(keys)
+            again.append(np.arange(start, start + count))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        again = np.concatenate(again) if again else np.zeros(0, np.int64)
+        pair = np.concatenate([np.ones(len(a), bool), np.zeros(len(again), bool)])
+        out = {n: pa.array(np.concatenate([x, np.zeros(len(again), np.int64)]), mask=~pair) for n, x in (("a", a), ("b", b))}
+        yield out | {n: pa.array(np.concatenate([np.zeros(len(a), kind), rows[n][again]]), mask=pair) for n, kind in kinds.items()}
 
 
 def _rest(batches):
-    """Entries of long lists sorted by (token, size) with ``open`` for unmatched classes: all fitting pairs with at least one open class.
+    """Entries of long lists sorted by (token, at) with ``open`` for unmatched classes: all fitting pairs with at least one open class.
 
-    Classes leave memory when the length filter shuts them out.
+    Parts of a list meet every earlier part that the length filter lets in; classes beyond it leave memory.
     """
-    carry = None
+    names = (*_ENTRY, "open")
+    earlier = None
+    for rows in _by_lists(batches, names, set()):
+        if earlier is not None:
+            near = (earlier["token"] == rows["token"][0]) & (DOWN * earlier["size"] >= UP * rows["size"][0])
+            earlier = {n: v[near] for n, v in earlier.items()}
+            rows = {n: np.concatenate([earlier[n], rows[n]]) for n in rows}
+        done = len(earlier["token"]) if earlier is not None else 0
+        for i, j in _windows(rows):
+            new = (j >= done) & (rows["open"][i] | rows["open"][j])
+            if new.any():
+                yield dict(zip(("a", "b"), map(pa.array, _oriented(rows, i[new], j[new]))))
+        last = rows["token"] == rows["token"][-1]
+        earlier = {n: v[last] for n, v in rows.items()}
+
+
+def _verify(batches):
+    """k of the later class of each pair whose sets are similar."""
     for batch in batches:
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        fresh = 0
-        if carry is not None:
-            fresh = len(carry[0])
-            rows = [np.concatenate(x) for x in zip(carry, rows)]
-        token, k, ids, size, place, open_ = rows
-        size, place = size.astype(np.int64), place.astype(np.int64)
-        for i in range(fresh, len(token), 256):
-            j = min(i + 256, len(token))
-            low = i
-            while low > 0 and token[low - 1] == token[i] and DOWN * size[low - 1] >= UP * size[i]:
-                low = max(0, low - 4096)
-            for x in range(low, j, 4096):
-                y = min(x + 4096, j)
-                xs, ys = slice(x, y), slice(i, j)
-                good = (token[xs, None] == token[None, ys]) & (open_[xs, None] | open_[None, ys]) & (np.arange(x, y)[:, None] < np.arange(i, j)[None])
-                p, q = np.nonzero(good)
-                p, q = p + x, q + i
-                fit = _fits(size[p], place[p], size[q], place[q])
-                if fit.any():
-                    yield {"a": pa.array(k[p[fit]]), "b": pa.array(k[q[fit]])}
-        keep = (token == token[-1]) & (DOWN * size >= UP * size[-1])
-        carry = [x[keep] for x in rows]
+        found = []
+        for a, a_at, a_tokens, a_rare, b, b_at, b_tokens, b_rare in zip(*(c.to_pylist() for c in batch.columns)):
+            x, y = decoded(a_tokens, a_rare), decoded(b_tokens, b_rare)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if (UP + DOWN) * common >= UP * (len(x) + len(y)):
+                found.append(a if tuple(a_at.values()) > tuple(b_at.values()) else b)
+        yield {"k": pa.array(found, pa.int64())}
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """k of the later class of each pair whose sets are similar. Both joins reuse the buckets of ``sets``."""
-    side = lambda n: sets.select(F.col("k").alias(n), F.struct("id", "tie", "line").alias(f"{n}_at"), F.col("tokens").alias(f"{n}_tokens"))
+    """Both joins use the buckets of ``sets``: only the pairs are shuffled."""
+    side = lambda n: sets.select(F.col("k").alias(n), F.struct("id", "tie", "line").alias(f"{n}_at"), F.col("tokens").alias(f"{n}_tokens"), F.col("rare").alias(f"{n}_rare"))
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    close = (UP + DOWN) * common >= UP * (F.size("a_tokens") + F.size("b_tokens"))
-    return both.filter(close).select(F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b")).alias("k")).distinct()
+    columns = [f"{n}{c}" for n in "ab" for c in ("", "_at", "_tokens", "_rare")]
+    return map_arrow(both.select(*columns), _verify, "k long").distinct()
 
 
 def _strip(batches):
@@ -281,43 +371,35 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """id, tie, lines: numbers (from 0) of each document's lines that repeat an earlier one."""
     spark = documents.sparkSession
     rows = keyed(documents)
-    total = rows.agg(F.coalesce(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1), F.lit(0))).head()[0]
-
-    def each(batch):
-        hashed = TermHash()
-        for text in batch.column(0).cast(pa.large_binary()):
-            for _, tokens in token_lists(text.as_py(), hashed):
-                yield tokens
-
-    terms, counts = frequent_terms(rows.select("text"), each, total, max(LEAST, 2 / max(1, total)))
+    terms, counts = word_counts(rows.select("text"), scratch, LEAST)
     order = np.lexsort((terms, counts))
-    ranks = np.empty(len(terms), np.int64)
-    ranks[order] = np.arange(len(terms))
+    ranks = spark.sparkContext.broadcast(dict(zip(terms[order].tolist(), range(len(order)))))  # at most (words of a line) / LEAST
     release_shuffles(spark)
 
-    schema = "k long, id long, tie long, line int, size int, tokens array<long>"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = map_arrow(rows, _token_rows(terms, ranks), schema)
-    by = F.coalesce("k", F.xxhash64("id", "tie", "line"))
-    # Keyless rows go by their own hash as k, so that every row stays in the bucket of its k.
-    ready = found.withColumn("lone", F.col("k").isNull()).withColumn("k", by).repartition(parts, "k").sortWithinPartitions("k", "lone", "id", "tie", "line")
-    ready = ready.select(F.when(~F.col("lone"), F.col("k")).alias("k"), "id", "tie", "line", "size", "tokens")
+    # Lines without a key (repeats already) are spread by their own hash, which then stands in for k.
+    spread = map_arrow(rows, _token_rows(ranks), _SET_SCHEMA).withColumn("lone", F.col("k").isNull()).withColumn("k", F.coalesce("k", F.xxhash64("id", "tie", "line")))
+    ready = spread.repartition(parts, "k").sortWithinPartitions("k", "lone", "k2", "id", "tie", "line")
     name = f"line_classes_{uuid.uuid4().hex}"
-    all_ = map_arrow(ready, _classes, schema)
-    all_.write.option("compression", "zstd").option("path", f"{scratch.root}/classes").bucketBy(parts, "k").format("parquet").saveAsTable(name)
+    classes = map_arrow(ready.select(*_SET, "lone"), _classes, _SET_SCHEMA)
+    classes.write.option("compression", "zstd").option("path", f"{scratch.root}/classes").bucketBy(parts, "k").format("parquet").saveAsTable(name)
     release_shuffles(spark)
     classes = spark.table(name)
     sets = classes.filter("size > 0")
 
-    entry = "token long, k long, id long, size int, place int"
-    entries = map_arrow(sets.select("k", "id", "size", "tokens"), _prefixes, entry).repartition("token").sortWithinPartitions("token", "size", "id")
-    offered = scratch.write(map_arrow(entries, _candidates, "a long, b long, token long, id long, size int, place int"), "offered")
+    entries = map_arrow(sets.select("k", "id", "size", "s1", "s2", "rare", "tokens"), _prefixes, _ENTRY_SCHEMA)
+    offered = map_arrow(entries.repartition("token").sortWithinPartitions("token", "at"), _candidates, f"a long, b long, {_ENTRY_SCHEMA}")
+    offered = scratch.write(offered, "offered")
     release_shuffles(spark)
-    gone = scratch.write(_verified(offered.filter("b is not null"), sets), "gone")
-    long_ = offered.filter("b is null").select("token", F.col("a").alias("k"), "id", "size", "place")
-    open_ = long_.join(gone.select("k", F.lit(True).alias("matched")), "k", "left").select(*_ENTRY, F.col("matched").isNull().alias("open"))
-    rest = map_arrow(open_.repartition("token").sortWithinPartitions("token", "size", "id"), _rest, "a long, b long")
-    more = scratch.write(_verified(rest, sets), "more")
+    pairs = offered.filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+    # First each class against the one it shares most of its prefix with; the rest only for those left unmatched.
+    best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    gone = scratch.write(_verified(best, sets), "gone")
+    matched = gone.select(F.col("k").alias("b"))
+    others = pairs.select("a", "b").join(matched, "b", "left_anti").select("a", "b")
+    open_ = offered.filter("b is null").join(gone.select("k", F.lit(True).alias("matched")), "k", "left").select(*_ENTRY, F.col("matched").isNull().alias("open"))
+    rest = map_arrow(open_.repartition("token").sortWithinPartitions("token", "at"), _rest, "a long, b long")
+    more = scratch.write(_verified(others.union(rest.join(matched, "b", "left_anti").select("a", "b")), sets), "more")
     release_shuffles(spark)
 
     similar = sets.join(gone.union(more).distinct(), "k", "left_semi").select("id", "tie", "line")
