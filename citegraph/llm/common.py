@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -51,8 +52,10 @@ class Scratch:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished phases now, not at the next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # references held from Python go first, then those of the JVM; the cleaner works behind both
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def map_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:

@@ -20,13 +20,10 @@ Extra columns are ignored by ``dedup_lines`` and kept by ``without_repeated_line
 from __future__ import annotations
 
 import uuid
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,54 +50,140 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_RNG = np.random.default_rng(0x5EED)
+#: Tabulation hashing: a random number for each byte at each place of a word; places repeat after 64 with another factor.
+_TABLE = _RNG.integers(0, 2**64, (64, 256), dtype=np.uint64)
+_TABLE[:, list(b"\t\n\x0b\x0c\r ")] = 0
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b"\t\n\x0b\x0c\r ")] = True
+
+
+def hashed_words(texts: pa.Array, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of texts: the hash of every word, the line it stands in (numbered through), and each text's first line number plus the end.
+
+    All words at once from the column's bytes, in blocks of texts that fit a processor's cache; no Python object is made for a word.
+    """
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    words, lines, firsts, line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + block, side="right")) - 1)
+        part = offsets[begin : end + 1]
+        found, at, first = _block_words(data[part[0] : part[-1]], part - part[0])
+        words.append(found)
+        lines.append(at + line)
+        firsts.append(first[:-1] + line)
+        line += int(first[-1])
+        begin = end
+    return np.concatenate(words), np.concatenate(lines), np.concatenate([*firsts, [line]])
+
+
+def _block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    breaks = np.flatnonzero(data == 10)
+    # A text begins a line of its own, empty or not.
+    first_lines = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
+    solid = ~_BLANK[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[inner] = solid[inner]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), first_lines
+    data, first = data[starts[0] :], starts - starts[0]
+    place = np.arange(len(data), dtype=np.int32)
+    place -= np.repeat(first.astype(np.int32), np.diff(np.append(first, len(data))))
+    value = _TABLE.reshape(-1)[((place & 63) << 8) | data]
+    if (place >= 64).any():
+        far = np.flatnonzero(place >= 64)
+        value[far] *= 2 * (place[far] >> 6).astype(np.uint64) + np.uint64(1)
+    line = np.searchsorted(breaks, starts) + np.searchsorted(offsets, starts, side="right") - 1
+    return _mix(np.add.reduceat(value, first)), line, first_lines
+
+
 def word_counts(documents: DataFrame, scratch: Scratch, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of all words that occur at least ``least`` times a line (and twice); each task adds up its own before the shuffle."""
 
     def count(batches):
-        held: Counter = Counter()
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def out():
-            words = list(held)
-            for i in range(0, len(words), 100_000):
-                part = words[i : i + 100_000]
-                yield {"term": pa.array(as_signed(np.fromiter(map(xxhash.xxh64_intdigest, part), np.uint64, len(part)))), "n": pa.array([held[w] for w in part], pa.int64())}
-            held.clear()
+            for i in range(0, len(keys), 200_000):
+                yield {"term": pa.array(as_signed(keys[i : i + 200_000])), "n": pa.array(counts[i : i + 200_000])}
 
         for batch in batches:
-            lines = 0
-            for text in batch.column(0).cast(pa.large_binary()):
-                text = text.as_py()
-                lines += text.count(b"\n") + 1
-                held.update(text.split())
-            if len(held) > 1_000_000:
+            words, _, lines = hashed_words(batch.column(0))
+            new, times = np.unique(words, return_counts=True)
+            both = np.concatenate([keys, new])
+            order = np.argsort(both)
+            fresh = np.concatenate([[True], both[order][1:] != both[order][:-1]]) if len(both) else np.zeros(0, bool)
+            keys = both[order][fresh]
+            counts = np.add.reduceat(np.concatenate([counts, times])[order], np.flatnonzero(fresh)) if len(both) else counts
+            yield {"term": pa.array([None], pa.int64()), "n": pa.array([int(lines[-1])], pa.int64())}
+            if len(keys) > 2_000_000:
                 yield from out()
-            yield {"term": pa.array([None], pa.int64()), "n": pa.array([lines], pa.int64())}
+                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield from out()
 
     counts = scratch.write(map_arrow(documents, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "counts")
     lines = counts.filter("term is null").agg(F.sum("n")).head()[0] or 0
     kept = counts.filter((F.col("n") >= F.lit(max(least * lines, 2))) & F.col("term").isNotNull()).toArrow()
     scratch.drop("counts")
-    return kept["term"].to_numpy(), kept["n"].to_numpy()
+    return kept["term"].to_numpy().view(np.uint64), kept["n"].to_numpy()
 
 
-class _Codes(dict):
-    """Word -> signed code: its rank if it is frequent (0 and up, rarest first), else its hash as a negative number."""
+class Ranks:
+    """Word hash -> signed code: the rank of a frequent word (0 and up, rarest first), else the hash as a negative number.
 
-    def __init__(self, ranks: dict[int, int]) -> None:
-        self.ranks = ranks
+    A direct-mapped table; of frequent words that meet in a slot one counts as rare, which is an order as good as any.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        value -= (value >> 63) << 64
-        rank = self.ranks.get(value)
-        code = self[word] = (value | RARE) if rank is None else rank
-        return code
+    SLOTS = 1 << 22
+
+    def __init__(self, terms: np.ndarray, counts: np.ndarray) -> None:
+        self.terms = terms[np.lexsort((terms, counts))]
+        self._slots = None
+
+    def __reduce__(self):
+        return _ranks, (self.terms,)
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        if self._slots is None:
+            self._slots = np.full(self.SLOTS, -1, np.int32)
+            self._slots[(self.terms & np.uint64(self.SLOTS - 1)).astype(np.int64)] = np.arange(len(self.terms))
+        rare = (words | np.uint64(1 << 63)).view(np.int64)
+        if not len(self.terms):
+            return rare
+        rank = self._slots[(words & np.uint64(self.SLOTS - 1)).astype(np.int64)]
+        return np.where((rank >= 0) & (self.terms[rank] == words), rank, rare)
+
+
+def _ranks(terms: np.ndarray) -> Ranks:
+    made = Ranks(terms[:0], np.zeros(0, np.int64))
+    made.terms = terms
+    return made
+
+
+def _sorted_sets(codes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and lines, sorted by line and code, without repeats. ``line`` is ascending already."""
+    # One 64-bit key: the line, then the code's order in 43 bits: ranks above all hashes, of which the first 42 bits count.
+    dense = np.cumsum(np.concatenate([[0], line[1:] != line[:-1]]))
+    if len(dense) and dense[-1] < 1 << 20:
+        order_ = np.where(codes < 0, (codes & ((1 << 63) - 1)) >> 21, codes + (1 << 42))
+        key = (dense << 43) | order_
+        order = np.argsort(key)
+        codes, line, key = codes[order], line[order], key[order]
+        new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (line[1:] != line[:-1])])
+        if not ((key[1:] == key[:-1]) & new[1:]).any():  # no two hashes alike in their first bits
+            return codes[new], line[new]
+    order = np.lexsort((codes, line))
+    codes, line = codes[order], line[order]
+    new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (line[1:] != line[:-1])])
+    return codes[new], line[new]
 
 
-RARE = -(1 << 63)
 _SET = ("k", "k2", "id", "tie", "line", "size", "s1", "s2", "rare", "tokens")
 _SET_SCHEMA = "k long, k2 long, id long, tie long, line int, size int, s1 long, s2 long, rare int, tokens binary"
 
@@ -112,33 +195,23 @@ def _token_rows(ranks):
     """
 
     def run(batches):
-        codes = _Codes(ranks.value)
         for batch in batches:
             ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            rows, numbers, sizes, sets = [], [], [], []
-            code = codes.__getitem__
-            for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
-                for number, line in enumerate(text.as_py().split(b"\n")):
-                    parts = line.split()
-                    if parts:
-                        own = sorted(set(map(code, parts)))
-                        rows.append(i)
-                        numbers.append(number)
-                        sizes.append(len(own))
-                        sets.append(own)
-            if not rows:
+            words, line, first_lines = hashed_words(batch.column(2))
+            if not len(words):
                 continue
-            sizes = np.array(sizes)
-            ends = np.cumsum(sizes)
-            flat = np.fromiter(chain.from_iterable(sets), np.int64, ends[-1])
-            begins = ends - sizes
+            flat, line = _sorted_sets(ranks.value.codes(words), line)
+            begins = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+            ends = np.append(begins[1:], len(flat))
+            sizes = ends - begins
+            rows = np.searchsorted(first_lines, line[begins], side="right") - 1
+            numbers = (line[begins] - first_lines[rows]).astype(np.int32)
             mixed = _mix(flat.view(np.uint64))
             k, k2 = (np.add.reduceat(x, begins).view(np.int64) for x in (mixed, _mix(mixed + np.uint64(1))))
             bit = np.uint64(1) << (mixed & np.uint64(63))
             high = (mixed & np.uint64(64)) > 0
             s1, s2 = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), begins).view(np.int64) for x in (high, ~high))
             rare = np.add.reduceat((flat < 0).astype(np.int64), begins)
-            rows, numbers = np.array(rows), np.array(numbers, np.int32)
             order = np.lexsort((numbers, ties[rows], ids[rows], k2, k))
             new = np.concatenate([[True], (k[order][1:] != k[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
             lead = order[new]
@@ -372,8 +445,7 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     spark = documents.sparkSession
     rows = keyed(documents)
     terms, counts = word_counts(rows.select("text"), scratch, LEAST)
-    order = np.lexsort((terms, counts))
-    ranks = spark.sparkContext.broadcast(dict(zip(terms[order].tolist(), range(len(order)))))  # at most (words of a line) / LEAST
+    ranks = spark.sparkContext.broadcast(Ranks(terms, counts))  # at most (words of a line) / LEAST terms
     release_shuffles(spark)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
