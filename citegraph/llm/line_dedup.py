@@ -33,6 +33,8 @@ from citegraph.llm.common import NULL_ID, Scratch, as_signed, map_arrow, release
 UP, DOWN = 4, 5
 LEAST = 1e-4
 LONG = 1_000
+#: Occurrences from which a word's list takes the way that never holds a whole list in memory; entries of a bucket of the other way.
+HOT, BUCKET = 500_000, 400_000
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -110,30 +112,73 @@ def word_counts(documents: DataFrame, scratch: Scratch, least: float) -> tuple[n
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def out():
-            for i in range(0, len(keys), 200_000):
-                yield {"term": pa.array(as_signed(keys[i : i + 200_000])), "n": pa.array(counts[i : i + 200_000])}
+            bucket = (keys >> np.uint64(32)).astype(np.int64) % buckets
+            for rows in _packed({"bucket": bucket, "term": as_signed(keys), "n": counts}):
+                yield rows | {"lines": pa.nulls(len(rows["bucket"]), pa.int64())}
 
         for batch in batches:
             words, _, lines = hashed_words(batch.column(0))
-            new, times = np.unique(words, return_counts=True)
-            both = np.concatenate([keys, new])
-            order = np.argsort(both)
-            fresh = np.concatenate([[True], both[order][1:] != both[order][:-1]]) if len(both) else np.zeros(0, bool)
-            keys = both[order][fresh]
-            counts = np.add.reduceat(np.concatenate([counts, times])[order], np.flatnonzero(fresh)) if len(both) else counts
-            yield {"term": pa.array([None], pa.int64()), "n": pa.array([int(lines[-1])], pa.int64())}
+            keys, counts = _added(np.concatenate([keys, words]), np.concatenate([counts, np.ones(len(words), np.int64)]))
+            yield {"bucket": pa.array([-1]), "term": pa.nulls(1, pa.binary()), "n": pa.nulls(1, pa.binary()), "lines": pa.array([int(lines[-1])], pa.int64())}
             if len(keys) > 2_000_000:
                 yield from out()
                 keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield from out()
 
-    counts = scratch.write(map_arrow(documents, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "counts")
-    lines = counts.filter("term is null").agg(F.sum("n")).head()[0] or 0
-    kept = counts.filter((F.col("n") >= F.lit(max(least * lines, 2))) & F.col("term").isNotNull()).toArrow()
-    scratch.drop("counts")
+    def add(batches):
+        for rows in _unpacked(batches, ("term", "n")):
+            keys, counts = _added(rows["term"], rows["n"])
+            keep = counts > 1  # a word that occurs once in all is never frequent
+            yield {"term": pa.array(keys[keep]), "n": pa.array(counts[keep])}
+
+    buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = scratch.write(map_arrow(documents, count, "bucket long, term binary, n binary, lines long"), "word_parts", "lz4")
+    lines = parts.agg(F.sum("lines")).head()[0] or 0
+    laid = parts.filter("bucket >= 0").select("bucket", "term", "n").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    kept = map_arrow(laid, add, "term long, n long").filter(F.col("n") >= F.lit(max(least * lines, 2))).toArrow()
+    scratch.drop("word_parts")
     return kept["term"].to_numpy().view(np.uint64), kept["n"].to_numpy()
 
 
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[begins], np.add.reduceat(counts[order], begins)
+
+
+def _packed(rows: dict[str, np.ndarray]):
+    """One row for each bucket, with the bucket's values of every other column as bytes: cheap to shuffle."""
+    order = np.argsort(rows["bucket"], kind="stable")
+    bucket = rows["bucket"][order]
+    begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], len(bucket))
+    out = {"bucket": pa.array(bucket[begins])}
+    for name, values in rows.items():
+        if name != "bucket":
+            raw = values[order].tobytes()
+            out[name] = pa.array([raw[8 * a : 8 * b] for a, b in zip(begins.tolist(), ends.tolist())], pa.binary())
+    yield out
+
+
+def _unpacked(batches, names):
+    """The values of each bucket, from rows sorted by bucket."""
+    held: list[list[np.ndarray]] = []
+    at = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != at and held:
+                yield {n: np.concatenate(v) for n, v in zip(names, zip(*held))}
+                held = []
+            at = row[0]
+            held.append([np.frombuffer(v, np.int64) for v in row[1:]])
+    if held:
+        yield {n: np.concatenate(v) for n, v in zip(names, zip(*held))}
+
+
 class Ranks:
     """Word hash -> signed code: the rank of a frequent word (0 and up, rarest first), else the hash as a negative number.
 
@@ -143,11 +188,14 @@ class Ranks:
     SLOTS = 1 << 22
 
     def __init__(self, terms: np.ndarray, counts: np.ndarray) -> None:
-        self.terms = terms[np.lexsort((terms, counts))]
+        order = np.lexsort((terms, counts))
+        self.terms = terms[order]
+        #: Codes from here on belong to words so frequent that their lists may be long.
+        self.hot = int(np.searchsorted(counts[order], HOT))
         self._slots = None
 
     def __reduce__(self):
-        return _ranks, (self.terms,)
+        return _ranks, (self.terms, self.hot)
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         if self._slots is None:
@@ -160,9 +208,9 @@ class Ranks:
         return np.where((rank >= 0) & (self.terms[rank] == words), rank, rare)
 
 
-def _ranks(terms: np.ndarray) -> Ranks:
+def _ranks(terms: np.ndarray, hot: int) -> Ranks:
     made = Ranks(terms[:0], np.zeros(0, np.int64))
-    made.terms = terms
+    made.terms, made.hot = terms, hot
     return made
 
 
@@ -184,8 +232,8 @@ def _sorted_sets(codes: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.nd
     return codes[new], line[new]
 
 
-_SET = ("k", "k2", "id", "tie", "line", "size", "s1", "s2", "rare", "tokens")
-_SET_SCHEMA = "k long, k2 long, id long, tie long, line int, size int, s1 long, s2 long, rare int, tokens binary"
+_SET = ("k", "k2", "id", "tie", "line", "size", "s1", "s2", "rare", "tokens", "top")
+_SET_SCHEMA = "k long, k2 long, id long, tie long, line int, size int, s1 long, s2 long, rare int, tokens binary, top long"
 
 
 def _token_rows(ranks):
@@ -228,6 +276,7 @@ def _token_rows(ranks):
             columns = (
                 pa.array(k[keep], mask=later), pa.array(k2[keep]), pa.array(ids[rows][keep]), pa.array(ties[rows][keep]), pa.array(numbers[keep]),
                 pa.array(np.where(later, 0, sizes[keep]).astype(np.int32)), pa.array(s1[keep]), pa.array(s2[keep]), pa.array(rare[keep].astype(np.int32)), pa.array(tokens, pa.binary()),
+                pa.array(flat[begins + prefix_length(sizes) - 1][keep]),
             )
             yield dict(zip(_SET, columns))
 
@@ -242,7 +291,7 @@ def _classes(batches):
     """Rows sorted by (k, lone, k2, id, tie, line): the first of a key leads its class, the others are repeats (size 0, no tokens), as are lone rows."""
     last = None  # (k, k2, id, tie, line) of the lead
     for batch in batches:
-        missing = batch.column(10).to_numpy(zero_copy_only=False)
+        missing = batch.column(11).to_numpy(zero_copy_only=False)
         values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         lead, twin = np.zeros(len(missing), bool), np.zeros(len(missing), bool)
         own = np.flatnonzero(~missing)
@@ -259,7 +308,7 @@ def _classes(batches):
             if new.any():
                 last = tuple(v[own[new][-1]] for v in values[:5])
         keep = pa.array(missing | lead | ~twin)
-        columns = list(batch.columns[:10])
+        columns = list(batch.columns[:11])
         columns[5] = pa.array(np.where(lead, values[5], 0).astype(np.int32))
         columns[9] = pa.compute.if_else(pa.array(lead), columns[9], pa.scalar(None, pa.binary()))
         yield dict(zip(_SET, (c.filter(keep) for c in columns)))
@@ -270,16 +319,48 @@ _ENTRY = ("token", "k", "id", "at", "s1", "s2")
 _ENTRY_SCHEMA = "token long, k long, id long, at long, s1 long, s2 long"
 
 
-def _prefixes(batches):
+def _prefix_rows(batch) -> dict[str, np.ndarray]:
     """One row for each token of a class's prefix, with its place."""
-    for batch in batches:
-        k, id_, size, s1, s2, rare = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        count = prefix_length(size.astype(np.int64))
-        row = np.repeat(np.arange(len(size)), count)
-        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        tokens = [decoded(t, r)[:n] for t, r, n in zip(batch.column(6).to_pylist(), rare.tolist(), count.tolist())]
-        columns = (np.concatenate(tokens), k[row], id_[row], (size.astype(np.int64)[row] << 32) | place, s1[row], s2[row])
-        yield dict(zip(_ENTRY, map(pa.array, columns)))
+    k, id_, size, s1, s2, rare = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+    count = prefix_length(size.astype(np.int64))
+    row = np.repeat(np.arange(len(size)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    tokens = [decoded(t, r)[:n] for t, r, n in zip(batch.column(6).to_pylist(), rare.tolist(), count.tolist())]
+    return dict(zip(_ENTRY, (np.concatenate(tokens), k[row], id_[row], (size.astype(np.int64)[row] << 32) | place, s1[row], s2[row])))
+
+
+def _hot_entries(hot: int):
+    def run(batches):
+        for batch in batches:
+            rows = _prefix_rows(batch)
+            own = rows["token"] >= hot
+            yield {n: pa.array(v[own]) for n, v in rows.items()}
+
+    return run
+
+
+def _packed_entries(hot: int, buckets: int):
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            rows = {n: np.concatenate([h[n] for h in held]) for n in _ENTRY}
+            bucket = (_mix(rows["token"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            held.clear()
+            return _packed({"bucket": bucket} | rows)
+
+        for batch in batches:
+            rows = _prefix_rows(batch)
+            own = rows["token"] < hot
+            held.append({n: v[own] for n, v in rows.items()})
+            size += int(own.sum())
+            if size > 500_000:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+
+    return run
 
 
 def _fits(rows, i, j) -> np.ndarray:
@@ -346,12 +427,29 @@ def _by_lists(batches, names, going_on):
         yield carry
 
 
-def _candidates(batches):
-    """Entries sorted by (token, at): fitting pairs (a, b); of lists beyond LONG rows each class with one earlier one alone, and the entries once more (b null)."""
+def _hot_candidates(batches):
+    """Of entries sorted by (token, at)."""
     long_lists: set[int] = set()
+    return _candidates(_by_lists(batches, _ENTRY, long_lists), long_lists)
+
+
+def _bucket_candidates(batches):
+    """Of packed entries, a bucket at a time."""
+
+    def lists():
+        for rows in _unpacked(batches, _ENTRY):
+            order = np.lexsort((rows["at"], rows["token"]))
+            rows = {n: v[order] for n, v in rows.items()}
+            yield rows | {"size": rows["at"] >> 32, "place": rows["at"] & 0xFFFFFFFF}
+
+    return _candidates(lists(), set())
+
+
+def _candidates(parts, long_lists):
+    """Parts of whole lists: fitting pairs (a, b); of lists beyond LONG rows each class with one earlier one alone, and the entries once more (b null)."""
     leads: dict[int, dict] = {}  # of the long list in hand: by size, the entry of the earliest document
     kinds = dict.fromkeys(_ENTRY, np.int64)
-    for rows in _by_lists(batches, _ENTRY, long_lists):
+    for rows in parts:
         token = rows["token"]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         counts = np.diff(np.append(starts, len(token)))
@@ -429,15 +527,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both.select(*columns), _verify, "k long").distinct()
 
 
-def _strip(batches):
-    for batch in batches:
-        out = {k: [] for k in ("id", "tie", "n_lines", "n_removed", "kept")}
-        for doc_id, tie, text, gone in zip(*(c.to_pylist() for c in batch.columns)):
-            lines, gone = text.split("\n"), set(gone or ())
-            kept = "\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text
-            for k, v in zip(out, (doc_id, tie, len(lines), len(gone), kept)):
-                out[k].append(v)
-        yield out
+def _kept(text, lines):
+    """The text without the lines of the given numbers."""
+    return F.when(lines.isNotNull(), F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(lines, i)), "\n")).otherwise(text)
 
 
 def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -459,11 +551,18 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     classes = spark.table(name)
     sets = classes.filter("size > 0")
 
-    entries = map_arrow(sets.select("k", "id", "size", "s1", "s2", "rare", "tokens"), _prefixes, _ENTRY_SCHEMA)
-    offered = map_arrow(entries.repartition("token").sortWithinPartitions("token", "at"), _candidates, f"a long, b long, {_ENTRY_SCHEMA}")
-    offered = scratch.write(offered, "offered")
+    columns, offer = ("k", "id", "size", "s1", "s2", "rare", "tokens"), f"a long, b long, {_ENTRY_SCHEMA}"
+    hot = ranks.value.hot
+    total = sets.agg(F.coalesce(F.sum(F.col("size") - F.ceil(F.col("size") * UP / DOWN) + 1), F.lit(0))).head()[0]
+    buckets = max(parts, int(total) // BUCKET)
+    packed = map_arrow(sets.select(*columns), _packed_entries(hot, buckets), "bucket long, " + ", ".join(f"{n} binary" for n in _ENTRY))
+    offered = map_arrow(packed.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _bucket_candidates, offer)
+    rows_ = map_arrow(sets.filter(F.col("top") >= hot).select(*columns), _hot_entries(hot), _ENTRY_SCHEMA)
+    rows_ = map_arrow(rows_.repartition("token").sortWithinPartitions("token", "at"), _hot_candidates, offer)
+    offered = scratch.write(offered.union(rows_), "offered")
+    release_shuffles(spark)
+    pairs = scratch.write(offered.filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     release_shuffles(spark)
-    pairs = offered.filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
     # First each class against the one it shares most of its prefix with; the rest only for those left unmatched.
     best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     gone = scratch.write(_verified(best, sets), "gone")
@@ -478,7 +577,7 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     equal = classes.filter("size = 0").select("id", "tie", "line")
     lines = scratch.write(similar.union(equal).groupBy("id", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lines")  # a document's own lines
     spark.sql(f"DROP TABLE {name}")
-    for old in ("classes", "offered", "gone", "more"):
+    for old in ("classes", "offered", "pairs", "gone", "more"):
         scratch.drop(old)
     release_shuffles(spark)
     return lines
@@ -487,9 +586,14 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
 def dedup_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_lines, n_removed, text (what is left)."""
     lines = repeated_lines(documents, scratch)
-    joined = keyed(documents).join(lines, ["id", "tie"], "left").select("id", "tie", "text", "lines")
-    done = map_arrow(joined, _strip, "id long, tie long, n_lines long, n_removed long, kept string")
-    return done.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_lines", "n_removed", F.col("kept").alias("text"))
+    text, gone = F.col("text"), F.col("lines")
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
+    return keyed(documents).join(lines, ["id", "tie"], "left").select(
+        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"),
+        n_lines.cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        _kept(text, gone).alias("text"),
+    )
 
 
 def without_repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -497,11 +601,7 @@ def without_repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     lines = repeated_lines(documents, scratch).select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__text_tie", F.xxhash64(text))
-    kept = F.when(
-        F.col("__lines").isNotNull(),
-        F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("__lines"), i)), "\n"),
-    ).otherwise(F.col("text"))
-    out = rows.join(lines, (F.col("__doc") == F.col("__id")) & (F.col("__text_tie") == F.col("__tie")), "left").withColumn("text", kept)
+    out = rows.join(lines, (F.col("__doc") == F.col("__id")) & (F.col("__text_tie") == F.col("__tie")), "left").withColumn("text", _kept(F.col("text"), F.col("__lines")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*documents.columns)
