@@ -24,6 +24,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +53,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_RNG = np.random.default_rng(0x5EED)
-#: Tabulation hashing: a random number for each byte at each place of a word; places repeat after 64 with another factor.
-_TABLE = _RNG.integers(0, 2**64, (64, 256), dtype=np.uint64)
-_TABLE[:, list(b"\t\n\x0b\x0c\r ")] = 0
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b"\t\n\x0b\x0c\r ")] = True
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Words beyond so many bytes are hashed one by one.
+_WIDE = 4_096
 
 
 def hashed_words(texts: pa.Array, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,43 +86,62 @@ def _block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     breaks = np.flatnonzero(data == 10)
     # A text begins a line of its own, empty or not.
     first_lines = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
-    solid = ~_BLANK[data]
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
+    # Where solid bytes begin and end; the end of a text ends a word as a blank does.
+    solid = np.zeros(len(data) + 2, bool)
+    np.logical_not(_BLANK[data], out=solid[1:-1])
+    edges = solid[1:] != solid[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
-    begins[inner] = solid[inner]
-    starts = np.flatnonzero(begins)
+    split = inner[solid[inner] & solid[inner + 1]]
+    bounds = np.flatnonzero(edges)
+    starts, ends = bounds[::2], bounds[1::2]
+    if len(split):
+        starts, ends = np.sort(np.concatenate([starts, split])), np.sort(np.concatenate([ends, split]))
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), first_lines
-    data, first = data[starts[0] :], starts - starts[0]
-    place = np.arange(len(data), dtype=np.int32)
-    place -= np.repeat(first.astype(np.int32), np.diff(np.append(first, len(data))))
-    value = _TABLE.reshape(-1)[((place & 63) << 8) | data]
-    if (place >= 64).any():
-        far = np.flatnonzero(place >= 64)
-        value[far] *= 2 * (place[far] >> 6).astype(np.uint64) + np.uint64(1)
-    line = np.searchsorted(breaks, starts) + np.searchsorted(offsets, starts, side="right") - 1
-    return _mix(np.add.reduceat(value, first)), line, first_lines
+    # Line breaks and texts' beginnings passed by each word.
+    passed = np.bincount(np.searchsorted(starts, np.concatenate([breaks, offsets])), minlength=len(starts) + 1)[:-1]
+    line = np.cumsum(passed) - 1
+    return _word_hashes(data, starts, ends - starts), line, first_lines
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, eight bytes of each at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    value = sizes.astype(np.uint64) * _ODD
+    at, left, own = starts, sizes, np.arange(len(starts))
+    while len(own):
+        block = eight[at]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        value[own] = _mix((value[own] ^ block) * _ODD)
+        going = (left > 8) & (sizes[own] <= _WIDE)
+        own, at, left = own[going], at[going] + 8, left[going] - 8
+    for i in np.flatnonzero(sizes > _WIDE):
+        value[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
+    return value
 
 
 def word_counts(documents: DataFrame, scratch: Scratch, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of all words that occur at least ``least`` times a line (and twice); each task adds up its own before the shuffle."""
 
     def count(batches):
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # distinct words of each slice, with their counts
 
         def out():
+            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            keys, counts = _added(*map(np.concatenate, zip(none, *parts)))
+            parts.clear()
             bucket = (keys >> np.uint64(32)).astype(np.int64) % buckets
             for rows in _packed({"bucket": bucket, "term": as_signed(keys), "n": counts}):
                 yield rows | {"lines": pa.nulls(len(rows["bucket"]), pa.int64())}
 
         for batch in batches:
             words, _, lines = hashed_words(batch.column(0))
-            keys, counts = _added(np.concatenate([keys, words]), np.concatenate([counts, np.ones(len(words), np.int64)]))
+            parts.append(np.unique(words, return_counts=True))
             yield {"bucket": pa.array([-1]), "term": pa.nulls(1, pa.binary()), "n": pa.nulls(1, pa.binary()), "lines": pa.array([int(lines[-1])], pa.int64())}
-            if len(keys) > 2_000_000:
+            if sum(len(p[0]) for p in parts) > 3_000_000:
                 yield from out()
-                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield from out()
 
     def add(batches):
@@ -185,7 +204,7 @@ class Ranks:
     A direct-mapped table; of frequent words that meet in a slot one counts as rare, which is an order as good as any.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 20
 
     def __init__(self, terms: np.ndarray, counts: np.ndarray) -> None:
         order = np.lexsort((terms, counts))
@@ -325,8 +344,15 @@ def _prefix_rows(batch) -> dict[str, np.ndarray]:
     count = prefix_length(size.astype(np.int64))
     row = np.repeat(np.arange(len(size)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    tokens = [decoded(t, r)[:n] for t, r, n in zip(batch.column(6).to_pylist(), rare.tolist(), count.tolist())]
-    return dict(zip(_ENTRY, (np.concatenate(tokens), k[row], id_[row], (size.astype(np.int64)[row] << 32) | place, s1[row], s2[row])))
+    blob = batch.column(6).cast(pa.large_binary())
+    begin = np.frombuffer(blob.buffers()[1], np.int64)[blob.offset : blob.offset + len(blob)][row]
+    raw = np.concatenate([np.frombuffer(blob.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
+    wide, narrow = (np.ndarray((len(raw) - 7,), kind, raw, strides=(1,)) for kind in ("<i8", "<i4"))
+    is_rare = place < rare[row]
+    tokens = np.empty(len(row), np.int64)
+    tokens[is_rare] = wide[(begin + 8 * place)[is_rare]]
+    tokens[~is_rare] = narrow[(begin + 8 * rare[row] + 4 * (place - rare[row]))[~is_rare]]
+    return dict(zip(_ENTRY, (tokens, k[row], id_[row], (size.astype(np.int64)[row] << 32) | place, s1[row], s2[row])))
 
 
 def _hot_entries(hot: int):
@@ -513,7 +539,9 @@ def _verify(batches):
         found = []
         for a, a_at, a_tokens, a_rare, b, b_at, b_tokens, b_rare in zip(*(c.to_pylist() for c in batch.columns)):
             x, y = decoded(a_tokens, a_rare), decoded(b_tokens, b_rare)
-            common = len(np.intersect1d(x, y, assume_unique=True))
+            at = np.searchsorted(x, y)  # codes ascend in both
+            at[at == len(x)] = 0
+            common = int((x[at] == y).sum())
             if (UP + DOWN) * common >= UP * (len(x) + len(y)):
                 found.append(a if tuple(a_at.values()) > tuple(b_at.values()) else b)
         yield {"k": pa.array(found, pa.int64())}
@@ -546,7 +574,7 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     ready = spread.repartition(parts, "k").sortWithinPartitions("k", "lone", "k2", "id", "tie", "line")
     name = f"line_classes_{uuid.uuid4().hex}"
     classes = map_arrow(ready.select(*_SET, "lone"), _classes, _SET_SCHEMA)
-    classes.write.option("compression", "zstd").option("path", f"{scratch.root}/classes").bucketBy(parts, "k").format("parquet").saveAsTable(name)
+    classes.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.enable.dictionary", "false").option("path", f"{scratch.root}/classes").bucketBy(parts, "k").format("parquet").saveAsTable(name)
     release_shuffles(spark)
     classes = spark.table(name)
     sets = classes.filter("size > 0")
@@ -585,10 +613,10 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
 def dedup_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_lines, n_removed, text (what is left)."""
-    lines = repeated_lines(documents, scratch)
+    lines = repeated_lines(documents, scratch)  # a few numbers for a document: hashed, so that whole texts need no sort
     text, gone = F.col("text"), F.col("lines")
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
-    return keyed(documents).join(lines, ["id", "tie"], "left").select(
+    return keyed(documents).join(lines.hint("shuffle_hash"), ["id", "tie"], "left").select(
         F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"),
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
@@ -601,7 +629,7 @@ def without_repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     lines = repeated_lines(documents, scratch).select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__text_tie", F.xxhash64(text))
-    out = rows.join(lines, (F.col("__doc") == F.col("__id")) & (F.col("__text_tie") == F.col("__tie")), "left").withColumn("text", _kept(F.col("text"), F.col("__lines")))
+    out = rows.join(lines.hint("shuffle_hash"), (F.col("__doc") == F.col("__id")) & (F.col("__text_tie") == F.col("__tie")), "left").withColumn("text", _kept(F.col("text"), F.col("__lines")))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*documents.columns)
