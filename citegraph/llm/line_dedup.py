@@ -534,25 +534,24 @@ def _rest(batches):
 
 
 def _verify(batches):
-    """k of the later class of each pair whose sets are similar."""
+    """The later class of each pair whose sets are similar."""
     for batch in batches:
         found = []
-        for a, a_at, a_tokens, a_rare, b, b_at, b_tokens, b_rare in zip(*(c.to_pylist() for c in batch.columns)):
+        for later, a_tokens, a_rare, b_tokens, b_rare in zip(*(c.to_pylist() for c in batch.columns)):
             x, y = decoded(a_tokens, a_rare), decoded(b_tokens, b_rare)
             at = np.searchsorted(x, y)  # codes ascend in both
             at[at == len(x)] = 0
-            common = int((x[at] == y).sum())
-            if (UP + DOWN) * common >= UP * (len(x) + len(y)):
-                found.append(a if tuple(a_at.values()) > tuple(b_at.values()) else b)
+            if (UP + DOWN) * np.count_nonzero(x[at] == y) >= UP * (len(x) + len(y)):
+                found.append(later)
         yield {"k": pa.array(found, pa.int64())}
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Both joins use the buckets of ``sets``: only the pairs are shuffled."""
+    """k of the later class of each similar pair. Both joins use the buckets of ``sets``: only the pairs are shuffled."""
     side = lambda n: sets.select(F.col("k").alias(n), F.struct("id", "tie", "line").alias(f"{n}_at"), F.col("tokens").alias(f"{n}_tokens"), F.col("rare").alias(f"{n}_rare"))
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    columns = [f"{n}{c}" for n in "ab" for c in ("", "_at", "_tokens", "_rare")]
-    return map_arrow(both.select(*columns), _verify, "k long").distinct()
+    later = F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b"))
+    return map_arrow(both.select(later.alias("later"), "a_tokens", "a_rare", "b_tokens", "b_rare"), _verify, "k long").distinct()
 
 
 def _kept(text, lines):
