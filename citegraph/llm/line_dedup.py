@@ -90,7 +90,7 @@ def _block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     solid = np.zeros(len(data) + 2, bool)
     np.logical_not(_BLANK[data], out=solid[1:-1])
     edges = solid[1:] != solid[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    inner = np.unique(offsets[(offsets > 0) & (offsets < len(data))])  # empty texts begin where others do
     split = inner[solid[inner] & solid[inner + 1]]
     bounds = np.flatnonzero(edges)
     starts, ends = bounds[::2], bounds[1::2]

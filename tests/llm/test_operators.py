@@ -55,6 +55,15 @@ def test_line_dedup_is_brute_force(spark, texts, monkeypatch, long_):
     assert found == line_oracle(texts)
 
 
+def test_words_are_told_apart_at_empty_texts():
+    texts = ["a b", "", "", "b a\n\na", "", "x" * 5_000, "a", " ", "b"]
+    hashes, lines, first = line_dedup.hashed_words(line_dedup.pa.array(texts))
+    split = [(w, n) for t, start in zip(texts, first) for n, line in enumerate(t.split("\n"), start) for w in line.split()]
+    assert lines.tolist() == [n for _, n in split] and first[-1] == sum(t.count("\n") + 1 for t in texts)
+    known = {}
+    assert all(known.setdefault(w, h) == h for (w, _), h in zip(split, hashes.tolist())) and len(set(known.values())) == len(known) == 3
+
+
 def test_line_dedup_repeated_rows_and_empty_table(spark):
     docs = frame(spark, ["a b c d e", "a b c d e\nz"])
     twice = docs.union(docs.filter("doc_id = 0"))
