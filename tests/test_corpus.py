@@ -79,6 +79,12 @@ def test_closure_and_cycles(spark, bundled):
     assert {r["doc_id"]: r["hops"] for r in navigation.cycles(pairs).collect()}["8.1"] == 2
 
 
+def test_closure_of_a_long_chain(spark):
+    n = 1_200
+    pairs = navigation.closure(spark.range(n - 1).selectExpr("id as a", "id + 1 as b"), scratch_writer(spark))
+    assert tuple(pairs.agg(F.count("*"), F.count_if(F.col("hops") == F.col("b") - F.col("a")), F.max("hops")).head()) == (n * (n - 1) // 2, n * (n - 1) // 2, n - 1)
+
+
 def test_corpus_findings(spark):
     result = validate_corpus(
         in_memory(
