@@ -407,6 +407,15 @@ def op_nav_16_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigation.closure(edges, scratch_writer(spark)).select("a", "b")
 
 
+@query()
+def op_nav_16_closure_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAV-16 over all reference and citation edges of the ledger, between documents."""
+    result = validated(spark, sf_dir)
+    cited = result.inline_edges.select(g.target_doc(F.col("from_id")).alias("a"), g.target_doc(F.col("to_id")).alias("b"))
+    edges = result.reference_edges.select(F.col("from_doc_id").alias("a"), F.col("to_doc_id").alias("b")).unionByName(cited)
+    return navigation.closure(edges, scratch_writer(spark))
+
+
 @query(
     """WITH points AS (SELECT l_orderkey, l_suppkey, max(CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey END) OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS context
 FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)) SELECT CAST(l_orderkey AS VARCHAR) AS uri, l_suppkey AS at, CAST(context AS VARCHAR) AS context FROM points WHERE l_suppkey % 3 <> 0"""
