@@ -9,6 +9,9 @@ The index is a set of immutable runs, each a table sorted by fingerprint. A batc
 These are verified: every candidate window is hashed again over all its words with a second 64-bit
 hash, and only windows equal in both hashes count as repeats. All but the first (smaller doc_id, earlier start) are repeats.
 
+An index that is kept holds that second hash of every window in its runs, so a new batch is deduplicated against history without
+the older texts: what stands in an older document is a repeat. The index that ``dedup`` makes for itself needs none, as all its texts are at hand.
+
 Hot passages: each task first settles the repeats among its own rows; only its first occurrences of a window go
 through the shuffle, so a passage that a third of all documents share arrives once for each slice of 8 MB of text.
 
@@ -96,9 +99,11 @@ class FingerprintIndex:
     """
 
     SCHEMA = "fp long, times int, id long, tie long, begin int, count int"
+    KEPT = SCHEMA + ", digests binary"
 
-    def __init__(self, spark, path: str, fanout: int = FANOUT) -> None:
+    def __init__(self, spark, path: str, fanout: int = FANOUT, digests: bool = True) -> None:
         self.spark, self.path, self.fanout = spark, path, fanout
+        self.schema = self.KEPT if digests else self.SCHEMA
 
     def _fs(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -122,13 +127,17 @@ class FingerprintIndex:
 
     def _read(self, runs) -> DataFrame:
         names = [f"{self.path}/{'-'.join(map(str, r))}" for r in runs]
-        return self.spark.read.schema(self.SCHEMA).parquet(*names) if names else self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.schema).parquet(*names) if names else self.spark.createDataFrame([], self.schema)
+
+    def entries(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch's run."""
+        return map_arrow(batch, _index_rows_with_digests if self.schema == self.KEPT else _index_rows, self.schema)
 
     def append(self, batch: DataFrame) -> None:
         """A new run for a batch of documents (id, tie, text), then whatever merges are due."""
         runs = self.runs()
         turn = runs[-1][2] + 1 if runs else 0
-        self._write(map_arrow(batch, _index_rows, self.SCHEMA).sortWithinPartitions("fp"), 0, turn, turn)
+        self._write(self.entries(batch).sortWithinPartitions("fp"), 0, turn, turn)
         self.compact()
 
     def compact(self) -> None:
@@ -144,10 +153,16 @@ class FingerprintIndex:
             for r in due:
                 fs.delete(path(f"{self.path}/{'-'.join(map(str, r))}"), True)
 
-    def repeated(self) -> DataFrame:
-        """id, tie, begin, count: windows whose fingerprint occurs in two places or more."""
+    def history(self, keys: DataFrame) -> DataFrame:
+        """The rows of the live runs but those of the documents (id, tie) given."""
+        digests = F.coalesce("digests", F.raise_error(F.lit("a run without verifying hashes: build the index anew")))
+        return self._read(self.runs()).withColumn("digests", digests).join(keys.select("id", "tie").distinct(), ["id", "tie"], "left_anti")
+
+    def repeated(self, rows: DataFrame | None = None) -> DataFrame:
+        """id, tie, begin, count: windows whose fingerprint occurs in two places or more, of the index or of such rows."""
+        rows = self._read(self.runs()) if rows is None else rows
         return map_arrow(
-            map_arrow(self._read(self.runs()), _settle_counts, "key long, known int, id long, tie long, begin int, count int")
+            map_arrow(rows.select("fp", "times", "id", "tie", "begin", "count"), _settle_counts, "key long, known int, id long, tie long, begin int, count int")
             .repartition("key")
             .sortWithinPartitions("key"),
             _twice,
@@ -155,16 +170,25 @@ class FingerprintIndex:
         )
 
 
-def _index_rows(batches):
+def _index_rows_with_digests(batches):
+    return _index_rows(batches, True)
+
+
+def _index_rows(batches, with_digests: bool = False):
     hashed = TermHash()
     for batch in batches:
         columns = {k: [] for k in ("fp", "times", "id", "tie", "begin", "count")}
+        digests = []
         ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
-            fps, begin, count, again = Windows(text.as_py(), hashed).fingerprints()
+            windows = Windows(text.as_py(), hashed)
+            fps, begin, count, again = windows.fingerprints()
+            if with_digests:
+                raw = as_signed(windows.hashes())
+                digests += [raw[b : b + n].tobytes() for b, n in zip(begin.tolist(), count.tolist())]
             for k, v in zip(columns, (as_signed(fps), 1 + again.astype(np.int32), np.full(len(fps), ids[i]), np.full(len(fps), ties[i]), begin.astype(np.int32), count.astype(np.int32))):
                 columns[k].append(v)
-        yield {k: pa.array(np.concatenate(v)) for k, v in columns.items()}
+        yield {k: pa.array(np.concatenate(v)) for k, v in columns.items()} | ({"digests": pa.array(digests, pa.binary())} if with_digests else {})
 
 
 def _settle_counts(batches):
@@ -269,7 +293,7 @@ def _stretches(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _first_wins(batches):
-    """Rows sorted by (fp, id, tie, begin): windows seen before under their fingerprint are repeats."""
+    """Rows sorted by (fp, history first, id, tie, begin): windows seen before under their fingerprint are repeats."""
     held_fp, held, held_key = None, np.zeros(0, np.int64), None  # the last fingerprint's digests, sorted, and where each came first
     for batch in batches:
         missing = np.asarray(batch.column(0).is_null())
@@ -334,20 +358,26 @@ def _apply(batches):
 def dedup(documents: DataFrame, scratch: Scratch, index: FingerprintIndex | None = None, batches: int = FANOUT) -> DataFrame:
     """documents(doc_id, text) -> id, n_words, n_removed, kept (the remaining words, space-joined).
 
-    With an ``index`` that already holds the documents' fingerprints (and perhaps more), nothing is appended to it.
-    Otherwise the documents go into a new one in ``batches`` by ranges of doc_id.
+    With an ``index`` nothing is appended to it, and it may hold these documents or not; windows that stand in its other
+    documents are repeats, whatever their doc_id. Otherwise the documents go into a new one in ``batches`` by ranges of doc_id.
     """
     spark = documents.sparkSession
     rows = keyed(documents)
     own = index is None
     if own:
-        index = FingerprintIndex(spark, f"{scratch.root}/index")
+        index = FingerprintIndex(spark, f"{scratch.root}/index", digests=False)
         steps = [i / batches for i in range(1, batches)]
         cuts = sorted(set(rows.agg(F.percentile_approx("id", steps, 1_000)).head()[0] or []))
         for low, high in zip([None, *cuts], [*cuts, None]):
             part = rows if low is None else rows.filter(F.col("id") > low)
             index.append(part if high is None else part.filter(F.col("id") <= high))
-    spans = index.repeated().groupBy("id", "tie").agg(F.collect_list(F.struct("begin", "count")).alias("spans"))  # a document's own runs
+    if own:
+        repeated = index.repeated()
+    else:
+        mine = scratch.write(index.entries(rows), "mine")
+        known = scratch.write(index.history(rows).join(mine.select("fp").distinct(), "fp", "left_semi").select(*mine.columns), "known")
+        repeated = index.repeated(mine.union(known))
+    spans = repeated.groupBy("id", "tie").agg(F.collect_list(F.struct("begin", "count")).alias("spans"))  # a document's own runs
     spans = scratch.write(spans, "repeated")
     if own:
         scratch.drop("index")
@@ -357,8 +387,11 @@ def dedup(documents: DataFrame, scratch: Scratch, index: FingerprintIndex | None
         _verify_rows,
         "fp long, id long, tie long, begin int, count int, digests binary",
     )
+    checked = checked.withColumn("turn", F.lit(1))
+    if not own:
+        checked = checked.union(known.select("fp", "id", "tie", "begin", "count", "digests", F.lit(0)))
     by = F.when(F.col("fp").isNull(), F.xxhash64("id", "begin")).otherwise(F.col("fp"))
-    sorted_ = checked.withColumn("by", by).repartition("by").sortWithinPartitions("by", "id", "tie", "begin").drop("by")
+    sorted_ = checked.withColumn("by", by).repartition("by").sortWithinPartitions("by", "turn", "id", "tie", "begin").drop("by", "turn")
     gone = map_arrow(sorted_, _first_wins, "id long, tie long, begin int, count int")
     gone = scratch.write(gone.groupBy("id", "tie").agg(F.collect_list(F.struct("begin", "count")).alias("spans")), "gone")
     scratch.drop("repeated")

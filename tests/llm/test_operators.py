@@ -111,6 +111,28 @@ def test_substring_index_grows_by_batches_and_compacts(spark, texts):
     assert substring_dedup.dedup(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("appended", [True, False])
+def test_substring_second_batch_meets_history(spark, texts, appended):
+    """A batch alone against an index of older documents, whose ids are larger: history wins."""
+    scratch = Scratch(spark, "t")
+    index = substring_dedup.FingerprintIndex(spark, f"{scratch.root}/index", fanout=2)
+    rng = np.random.default_rng(4)
+    passage, twice = words(rng, 30, 3_000), words(rng, 25, 3_000)
+    batch = [*texts[40:], words(rng, 9, 3_000) + " " + passage + " tail", twice + " x " + twice, "all of it is new here " + words(rng, 40, 3_000)]
+    history = [*texts[:40], texts[-3], "before " + passage]
+    older = spark.createDataFrame([(1_000 + i, t) for i, t in enumerate(history)], "doc_id long, text string")
+    for part in ("doc_id < 1020", "doc_id >= 1020"):
+        index.append(substring_dedup.keyed(older.filter(part)))
+    new = frame(spark, batch)
+    if appended:
+        index.append(substring_dedup.keyed(new))
+    n = len(history)
+    expected = {i - n: v for i, v in substring_oracle([*history, *batch]).items() if i >= n}
+    rows = substring_dedup.dedup(new, scratch, index).collect()
+    assert {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in rows} == expected
+    assert expected[len(batch) - 3][1] >= 30 and expected[len(batch) - 1][1] == 0
+
+
 def simhash_oracle(text, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) > n else [" ".join(w)] if w else []
