@@ -16,6 +16,10 @@ fewer words than a shingle have one shingle, the whole sequence. Rows that repea
 texts of one document: each keeps its row, and they share that document's component. Rows with a null doc_id are
 documents of their own that name no component: one with no named member has a null component_id. Extra columns
 are ignored by ``near_duplicates`` and kept by ``without_near_copies``.
+
+``near_copies`` links by exact Jaccard similarity of shingle sets, 0.8 or more, which lies about ten bits of a fingerprint apart:
+no trie over 64 bits prunes at a budget that catches that. Candidates share one of 32 bands of 4 min-hashes (a
+pair at 0.8 has none with probability 5e-8); each is verified on whole sets. Texts without words are equal to each other.
 """
 
 from __future__ import annotations
@@ -290,12 +294,112 @@ def near_duplicates(documents: DataFrame, scratch: Scratch, words: int = 3, budg
     return left.join(right, ["fp", "salt"]).select(real("doc_id"), "fp", "component_id")
 
 
-def without_near_copies(documents: DataFrame, scratch: Scratch, words: int = 5, budget: int = 3) -> DataFrame:
-    """The documents with all their columns, one (the smallest doc_id) of each component.
+BANDS, ROWS = 32, 4
+_SEEDS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_ODD = _SEEDS[1] | _ONE
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band of the least values that its functions take over a set; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(hashes), 2_000):
+        least = np.minimum(least, ((hashes[None, i : i + 2_000] ^ _SEEDS[0]) * _ODD).min(axis=1))
+    raw = least.tobytes()
+    step = 8 * ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[b * step : (b + 1) * step], b) for b in range(BANDS)], np.uint64)
+
+
+def _sets(documents: DataFrame, words: int, whole: bool) -> DataFrame:
+    """doc_id, node (a hash of the shingle set), its size, and the set itself (``whole``) or its band keys, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            out = {k: [] for k in ("node", "size", "data")}
+            for text in batch.column(1).cast(pa.large_binary()):
+                own = np.unique(shingle_hashes((text.as_py() or b"").lower(), words))
+                out["node"].append(xxhash.xxh64_intdigest(own.tobytes()))
+                out["size"].append(len(own))
+                out["data"].append((own if whole else band_keys(own)).tobytes())
+            yield {"doc_id": batch.column(0), "node": pa.array(as_signed(np.array(out["node"], np.uint64))), "size": out["size"], "data": out["data"]}
+
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
+    return map_arrow(documents.select(id_, F.col("text").cast("string")), run, "doc_id long, node long, size long, data binary")
+
+
+def _exploded(nodes: DataFrame) -> DataFrame:
+    """node, size, data (band keys) -> key, node, size."""
+
+    def run(batches):
+        for batch in batches:
+            data = batch.column(2).to_pylist()
+            count = np.fromiter(map(len, data), np.int64, len(data)) // 8
+            of = np.repeat(np.arange(len(data)), count)
+            yield {"key": pa.array(np.frombuffer(b"".join(data), np.int64))} | {k: pa.array(batch.column(i).to_numpy(zero_copy_only=False)[of]) for i, k in enumerate(("node", "size"))}
+
+    return map_arrow(nodes.select("node", "size", "data"), run, "key long, node long, size long")
+
+
+def _alike(batches):
+    """Pairs whose sets have a Jaccard similarity of 0.8 or more."""
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+        keep = pa.array(good)
+        yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
+
+
+def near_copies(documents: DataFrame, scratch: Scratch, words: int = 5) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, component_id: the smallest doc_id reachable over pairs of similarity 0.8 or more."""
+    prints = scratch.write(_sets(documents, words, False), "sets")
+    nodes = prints.dropDuplicates(["node"])
+    keyed = _exploded(nodes)
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = scratch.write(keyed.join(shared, "key"), "members")
+    # The sets of texts that share a band, made anew.
+    wanted = members.select("node").distinct()
+    ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.max("doc_id").alias("doc")).select("doc").distinct()
+    texts = documents.join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("doc"), "left_semi")
+    sets = scratch.write(_sets(texts, words, True).join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "data"), "candidates")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        x, y = (sets.select(F.col("node").alias(k), F.col("data").alias(f"of_{k}")) for k in ("a", "b"))
+        return scratch.write(map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b"), _alike, "a long, b long"), name)
+
+    near = lambda: 5 * F.least("sa", "sb") >= 4 * F.greatest("sa", "sb")
+    # First each member with its bucket's least one; then all pairs that this has not joined, so hot buckets are seldom quadratic.
+    sizes = members.select(F.col("node").alias("least"), F.col("size").alias("sb")).distinct()
+    stars = members.filter("node <> least").select("node", F.col("size").alias("sa"), "least").distinct().join(sizes, "least").filter(near())
+    stars = scratch.write(stars.select(F.col("node").alias("a"), F.col("least").alias("b")), "stars")
+    found = verified(stars, "alike")
+    ties = prints.filter(F.col("doc_id") != NULL_ID).groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a <> b").select("doc_id", "b")
+    ties = scratch.write(prints.select("doc_id", "node").join(ties, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b"), "ties")
+    roots = components(found.union(ties), scratch, "first")
+    rooted = members.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+    rooted = scratch.write(rooted.join(split, "key", "left_semi"), "rooted")
+    x, y = rooted.toDF("key", "a", "sa", "ra"), rooted.toDF("key", "b", "sb", "rb")
+    rest = x.join(y, "key").filter((F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & near()).select("a", "b").distinct()
+    more = verified(rest.join(stars, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        roots = components(found.union(ties).union(more), scratch, "second")
+    of_node = prints.groupBy("node").agg(F.min(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))).alias("first"))
+    of_node = of_node.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = of_node.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = of_node.join(named, "root").select("node", "component_id")
+    real = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id")
+    return scratch.write(prints.select("doc_id", "node").join(classes, "node").select(real, "component_id"), "copies")
+
+
+def without_near_copies(documents: DataFrame, scratch: Scratch, words: int = 5) -> DataFrame:
+    """The documents with all their columns, one (the smallest doc_id) of each component of ``near_copies``.
 
     Rows that repeat the doc_id that stays are one document: its first text stays. Rows with a null doc_id all stay.
     """
-    classes = near_duplicates(documents, scratch, words, budget)
+    classes = near_copies(documents, scratch, words)
     gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
     rows = documents.join(gone, "doc_id", "left_anti")
     turn = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")

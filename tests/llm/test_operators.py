@@ -183,6 +183,29 @@ def test_simhash_nulls_repeats_and_stage(spark):
     assert simhash.near_duplicates(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_near_copies_are_brute_force(spark):
+    """Texts re-wrapped and edited, a fifth of them too much: components of Jaccard 0.8 or more on five-word shingles."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(40):
+        base = [f"v{k}" for k in rng.integers(0, 5_000, 300)]
+        texts.append("\n".join(" ".join(base[k : k + 12]) for k in range(0, 300, 12)))
+        for edits in (0, 2, 5, 14):
+            copy = list(base)
+            for at in rng.integers(0, 300, edits):
+                copy[at] = f"e{rng.integers(5_000)}"
+            texts.append("\n".join(" ".join(copy[k : k + 17]) for k in range(0, 300, 17)))
+    texts += [None, "", " \n"]
+    sets = [set(zip(*[(w := (t or "").split())[k:] for k in range(5)])) for t in texts]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and label[i] != label[j]:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    kept = simhash.without_near_copies(frame(spark, texts).repartition(4), Scratch(spark, "t"))
+    assert {r["doc_id"] for r in kept.collect()} == set(label) and 41 < len(set(label)) < 100
+
+
 def test_imatch_edits_and_likeness(spark, texts):
     rows = {r["doc_id"]: r for r in imatch.fingerprint_with_edits(frame(spark, texts), least=0.001, most=0.9, rows_each=7).collect()}
     assert len(rows) == len(texts)
