@@ -8,8 +8,10 @@ that the windows before it left. Windows follow each other without gaps and are
 only the very last sequence is padded. Quanta are exact fractions of integers (targets by default: the sources' own
 token counts, so all queues end together; a queue that ends early just leaves its share to the rest).
 
-Documents are tokenized once, into a table in the shared folder whose rows carry their place within (task, source);
-prefix sums over (source, task) then place every token. Cut pieces never need a global sort.
+Documents are tokenized once, into a table in the shared folder whose rows carry their place within (stretch, source);
+prefix sums over (source, stretch) then place every token. Cut pieces never need a global sort. A stretch is what a task reads;
+with ``in_file_order`` it is what lies between two splits of a Parquet file, and queues follow the files by name and their
+rows in turn, however Spark deals files to tasks: the order in which a sorted table was written.
 
 Defined cases: a null text is empty (one end-of-document id). The null source is a queue of its own, the last one. Repeated
 rows are packed as often as they occur. An empty table gives no pieces. Extra columns are ignored. More than
@@ -66,35 +68,45 @@ def default_tokenizer() -> Tokenizer:
     return Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
-def tokenized(documents: DataFrame, tokenizer: Tokenizer, scratch: Scratch, most_queues: int) -> DataFrame:
-    """Table task, queue, doc_id, n, before, ids: ``before`` counts the tokens of the queue earlier in the task.
+def tokenized(documents: DataFrame, tokenizer: Tokenizer, scratch: Scratch, most_queues: int, in_file_order: bool = False) -> DataFrame:
+    """Table file, task, queue, doc_id, n, before, ids: ``before`` counts the tokens of the queue earlier in the stretch (file, task).
+
+    ``task`` is the task's number, or with ``in_file_order`` the first byte of the split; ``file`` is empty without.
 
     ids are little-endian 16-bit words where the vocabulary allows it, else 32-bit.
     """
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        sums: dict[int, int] = {}
+        number = TaskContext.get().partitionId()
+        sums: dict[tuple, int] = {}
+        last: dict[tuple, int] = {}
         for batch in batches:
-            out = {k: [] for k in ("task", "queue", "doc_id", "n", "before", "ids")}
-            for doc_id, text, queue in zip(*(c.to_pylist() for c in batch.columns)):
+            out = {k: [] for k in ("file", "task", "queue", "doc_id", "n", "before", "ids")}
+            for doc_id, text, queue, file, split, row in zip(*(c.to_pylist() for c in batch.columns)):
+                task = number
+                if in_file_order:
+                    task = split
+                    if row <= last.get((file, split), -1):
+                        raise ValueError(f"rows of {file} are not read in turn")
+                    last[file, split] = row
                 ids = np.append(tokenizer.encode(text or ""), np.uint32(END))
-                begun = sums.get(queue, 0)
-                sums[queue] = begun + len(ids)
-                for k, v in zip(out, (task, queue, doc_id, len(ids), begun, ids.astype("<u4" if ids.max() > 65535 else "<u2").tobytes())):
+                begun = sums.get((file, task, queue), 0)
+                sums[file, task, queue] = begun + len(ids)
+                for k, v in zip(out, (file, task, queue, doc_id, len(ids), begun, ids.astype("<u4" if ids.max() > 65535 else "<u2").tobytes())):
                     out[k].append(v)
             yield out
 
     names = documents.select("source").distinct()
     many = names.limit(most_queues + 1).count() > most_queues
-    rows = documents.select("doc_id", "text", "source")
+    place = [F.col(f"_metadata.{c}") for c in ("file_name", "file_block_start", "row_index")] if in_file_order else [F.lit(""), F.lit(0), F.lit(0)]
+    rows = documents.select("doc_id", "text", "source", *(c.alias(k) for k, c in zip(("file", "split", "row"), place)))
     if many:
         queued = rows.withColumn("queue", F.pmod(F.xxhash64("source"), F.lit(most_queues)).cast("int"))
     else:
         order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
         places = names.select(F.col("source").alias("name"), order.cast("int").alias("queue"))
         queued = rows.join(F.broadcast(places), F.col("source").eqNullSafe(F.col("name")))  # at most most_queues rows
-    return scratch.write(map_arrow(queued.select("doc_id", "text", "queue"), run, "task int, queue int, doc_id long, n long, before long, ids binary"), "tokens", "lz4")
+    return scratch.write(map_arrow(queued.select("doc_id", "text", "queue", "file", "split", "row"), run, "file string, task long, queue int, doc_id long, n long, before long, ids binary"), "tokens", "lz4")
 
 
 def pack(
@@ -106,14 +118,16 @@ def pack(
     window: int = WINDOW,
     most_queues: int = 10_000,
     broadcast_rows: int = 100_000,
+    in_file_order: bool = False,
 ) -> DataFrame:
     """documents(doc_id, text, source) -> doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue, ids.
 
     One row for each piece: ``start`` is its place in its document, ``offset`` its place in its sequence; ``ids`` holds
     its ids as little-endian unsigned 32-bit words. ``targets`` weighs queues (sources in code point order, null last).
+    ``in_file_order``: documents, a Parquet table as read, stand in their queue in the order in which they were written.
     """
-    tokens = tokenized(documents, tokenizer or default_tokenizer(), scratch, most_queues)
-    by_task = scratch.write(tokens.groupBy("task", "queue").agg(F.sum("n").alias("n")), "by_task")
+    tokens = tokenized(documents, tokenizer or default_tokenizer(), scratch, most_queues, in_file_order)
+    by_task = scratch.write(tokens.groupBy("file", "task", "queue").agg(F.sum("n").alias("n")), "by_task")
     totals = sorted((r["queue"], r["n"]) for r in by_task.groupBy("queue").agg(F.sum("n").alias("n")).collect())  # most_queues rows at most
     queues = np.array([q for q, _ in totals], np.int64)
     have = [int(n) for _, n in totals]
@@ -121,11 +135,11 @@ def pack(
     if targets and min(weight, default=1) <= 0:
         raise ValueError("every queue needs a target above zero")
     shares = (queues, have, weight, sum(weight))
-    earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    begin = by_task.select(F.col("task").alias("t"), F.col("queue").alias("q"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("queue").orderBy("file", "task").rowsBetween(Window.unboundedPreceding, -1)
+    begin = by_task.select(F.col("file").alias("f"), F.col("task").alias("t"), F.col("queue").alias("q"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     if by_task.count() <= broadcast_rows:  # tasks x sources; beyond that, a shuffle join
         begin = F.broadcast(begin)
-    placed = tokens.join(begin, (F.col("task") == F.col("t")) & (F.col("queue") == F.col("q")))
+    placed = tokens.join(begin, (F.col("file") == F.col("f")) & (F.col("task") == F.col("t")) & (F.col("queue") == F.col("q")))
 
     def cut(batches):
         layout = Layout(*shares, window)

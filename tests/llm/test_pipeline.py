@@ -54,3 +54,29 @@ def test_clean_documents_stay(spark, folder):
     model = toxicity.fit(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"), Scratch(spark, "t"))
     fresh = spark.createDataFrame([(1, "quite ordinary words"), (2, "an awfulness of a scumbag"), (3, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["severity"] >= toxicity.LIMIT for r in toxicity.severities(fresh, model).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_packing_follows_the_training_positions(spark, tmp_path):
+    """Files grow, so that Spark deals the last ones first."""
+    rng = np.random.default_rng(7)
+    rows = [(i, words(rng, 20 + 3 * i, 2_000), f"s{i % 3}") for i in range(240)]
+    for part in range(8):
+        path = f"{tmp_path}/part-{part:05d}.parquet"
+        spark.createDataFrame(rows[30 * part : 30 * part + 30], "doc_id long, text string, source string").toPandas().to_parquet(path)
+    packed = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path)), "").toPandas()
+    packed["at"] = packed.sequence_id * 1024 + packed.offset
+    for _, own in packed.groupby("queue"):
+        assert own.sort_values("at").doc_id.drop_duplicates().tolist() == sorted(set(own.doc_id))
+    assert packed.doc_id.nunique() == 240
+
+
+def test_mix_is_written_by_training_position(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    corpus_pipeline.mix(spark, docs, "").write.parquet(f"{tmp_path}/mix")
+    packed = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/mix"), "").toPandas()
+    packed["at"] = packed.sequence_id * 1024 + packed.offset
+    first = packed[packed.start == 0].sort_values("at").drop_duplicates("doc_id")
+    at = {r["doc_id"]: r["position"] or 0.0 for r in curriculum.plan(docs, Scratch(spark, "t")).collect()}
+    for _, own in first.groupby("queue"):
+        places = [at[i] for i in own.doc_id]
+        assert places == sorted(places)
