@@ -138,6 +138,15 @@ def op_lex_markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.markdown_lines(rows).select(F.col("doc_ord").alias("o_orderkey"), "line_no", "start_off", "starts_search_line")
 
 
+@query()
+def op_lex_markdown_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LEX-21, LEX-22 over all texts; two thirds of them get CRLF or a lone CR for their line feeds."""
+    text = F.coalesce("text", F.lit(""))
+    ending = F.when(F.col("doc_id") % 3 == 1, "\r\n").when(F.col("doc_id") % 3 == 2, "\r").otherwise("\n")
+    rows = render.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("uri"), F.col("doc_id").alias("doc_ord"), F.replace(text, F.lit("\n"), ending).alias("markdown"))
+    return t.markdown_lines(rows).select(F.col("doc_ord").alias("doc_id"), "line_no", "start_off", "text", "starts_search_line")
+
+
 # -- discovery --------------------------------------------------------------------
 
 _GLOBS = ("**/en/*", "*.example.org/**", "**/1*.html", "m.*/??/**", "**/*", "blog.*", "**/de/**", "www.**.html")

@@ -1,11 +1,13 @@
 """Queries over whole tables against brute force, at the smallest scale."""
 
 import os
+import re
 from collections import defaultdict
 
 import pytest
 
 from citegraph import queries
+from citegraph.sources import render
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -38,3 +40,17 @@ def test_closure_of_the_ledger(spark, tables):
             expected |= {(a, b): hops for b in now}
     rows = queries.QUERIES["op_nav_16_closure_ledger"](spark, SF).collect()
     assert len(rows) == len(expected) and {(r["a"], r["b"]): r["hops"] for r in rows} == expected
+
+
+def test_markdown_lines_of_the_documents(spark, tables):
+    expected = set()
+    for r in tables("documents"):
+        text = (r["text"] or "").replace("\n", ("\n", "\r\n", "\r")[r["doc_id"] % 3])
+        at, pieces = 0, re.findall(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z", text)
+        for n, piece in enumerate(pieces):
+            expected.add((r["doc_id"], n, at, piece.rstrip("\r\n"), n == 0 or pieces[n - 1].endswith("\n")))
+            at += len(piece)
+        if not pieces or pieces[-1].endswith("\n"):
+            expected.add((r["doc_id"], len(pieces), at, "", True))
+    rows = [tuple(r) for r in queries.QUERIES["op_lex_markdown_lines_documents"](spark, SF).collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
