@@ -461,6 +461,26 @@ def op_snk_7_strip_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_identity(t.search_lines(rows), "3.[0-9]+").select("uri", "line_no", "text")
 
 
+@query()
+def op_nav_3_references_block_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAV-3 over all documents of the ledger."""
+    return navigation.references_block(ledger_lines(spark, sf_dir)).select("uri", "line_no")
+
+
+@query()
+def op_nav_13_find_text_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NAV-13 over all lines of the ledger."""
+    return navigation.find_text(ledger_lines(spark, sf_dir), "0000001")
+
+
+@query()
+def op_snk_7_strip_identity_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-7 over all documents of the ledger."""
+    from citegraph.report import strip_identity
+
+    return strip_identity(ledger_lines(spark, sf_dir), "[1-4].[0-9]+").select("uri", "line_no", "text")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation of the ledger: the documents that govern most, with the corpus' own counts."""
     result = validated(spark, sf_dir)

@@ -54,3 +54,39 @@ def test_markdown_lines_of_the_documents(spark, tables):
             expected.add((r["doc_id"], len(pieces), at, "", True))
     rows = [tuple(r) for r in queries.QUERIES["op_lex_markdown_lines_documents"](spark, SF).collect()]
     assert len(rows) == len(expected) and set(rows) == expected
+
+
+@pytest.fixture(scope="module")
+def ledger(spark):
+    texts = {r["uri"]: r["markdown"].split("\n") for r in render.ledger(spark, SF).collect()}
+    return {uri: [*enumerate(lines if lines[-1] else lines[:-1], 1)] for uri, lines in texts.items()}
+
+
+def test_references_blocks_of_the_ledger(spark, ledger):
+    expected = []
+    for uri, lines in ledger.items():
+        heads = [n for n, line in lines if line.startswith("## References")]
+        expected += [(uri, n) for n, _ in lines if any(h <= n <= h + 40 for h in heads)]
+    found = [tuple(r) for r in queries.QUERIES["op_nav_3_references_block_ledger"](spark, SF).collect()]
+    assert sorted(found) == sorted(expected) and any(n > 45 for n, _ in max(ledger.values(), key=len)) and any(u.startswith("customer/") for u, _ in found)
+
+
+def test_find_text_in_the_ledger(spark, ledger):
+    found = [r["uri"] for r in queries.QUERIES["op_nav_13_find_text_ledger"](spark, SF).collect()]
+    expected = {uri for uri, lines in ledger.items() if any("0000001" in line for _, line in lines)}
+    assert len(found) == len(expected) and set(found) == expected
+    assert any("0000001" not in ledger[uri][0][1] for uri in found)
+
+
+def test_strip_identity_of_the_ledger(spark, ledger):
+    expected = []
+    for uri, lines in ledger.items():
+        skipped = False
+        for n, line in lines:
+            if re.match("#{1,6} ", line):
+                skipped = line == "## References"
+                line = re.sub(r"^(#{1,6} )[1-4]\.[0-9]+(?:#[0-9.]+)? *[-–—] *", r"\1", line)
+            if not skipped:
+                expected.append((uri, n, line))
+    found = [tuple(r) for r in queries.QUERIES["op_snk_7_strip_identity_ledger"](spark, SF).collect()]
+    assert sorted(found) == sorted(expected) and {u.split("/")[0] for u, _, _ in found} == {"customer", "supplier", "nation", "region"}
