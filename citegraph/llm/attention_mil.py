@@ -7,7 +7,7 @@ sigmoid(c . sum(a h) + d). All weights are learned together from document labels
 Features of a passage: shares of byte classes (letters by case, digits, blanks, each ASCII sign, four ranges of other bytes), equal
 neighbouring bytes and words, distinct words, word lengths, and how far the passage's words recur in the whole text. No
 language, source or id goes in. Every passage of every text is scored; training takes at most ``SAMPLE`` labelled
-documents (by hash of doc_id) and up to ``PASSAGES`` evenly spaced passages of each.
+documents of each class (by hash of doc_id), all passages of each. Their features lie in a file of the driver, read by batches.
 
 Defined cases: null and empty texts are one empty passage. Null labels are ignored; a doc_id with several labels counts by the
 largest. Without labels of both classes every score is the share of label 1 (0.5 without any). Repeated rows are scored each.
@@ -16,6 +16,7 @@ A null doc_id is scored and never trained on. Extra columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +28,8 @@ from citegraph.llm.common import Scratch, TermHash, map_arrow
 
 PASSAGE = 64
 SAMPLE = 4_000
-PASSAGES = 32
+#: Passages that a step of training holds at once, but for a longer document.
+PART = 20_000
 HIDDEN, GATE = 24, 12
 
 _SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -116,14 +118,42 @@ class AttentionModel:
         return self.forward(x, np.repeat(np.arange(len(bags)), sizes), np.cumsum(sizes) - sizes)[-1]
 
 
+def _parts(own: np.ndarray, bags: list[np.ndarray]) -> list[np.ndarray]:
+    """A batch in parts of about PART passages; a longer document is not cut."""
+    place = np.cumsum([len(bags[j]) for j in own]) // PART
+    return np.split(own, np.flatnonzero(place[1:] != place[:-1]) + 1)
+
+
+def _gradient(model: AttentionModel, part: list[np.ndarray], labels: np.ndarray, batch: int) -> dict[str, np.ndarray]:
+    """What some bags add to the gradient of a batch's mean loss."""
+    w = model.weights
+    sizes = np.fromiter(map(len, part), np.int64, len(part))
+    x = (np.concatenate(part) - model.mean) / model.scale
+    bag, starts = np.repeat(np.arange(len(part)), sizes), np.cumsum(sizes) - sizes
+    h, t, s, a, z, p = model.forward(x, bag, starts)
+    dz_out = (p - labels) / batch
+    g = {"c": z.T @ dz_out, "d": np.array([dz_out.sum()])}
+    dz = dz_out[:, None] * w["c"][None]
+    dh = a[:, None] * dz[bag]
+    da = (dz[bag] * h).sum(axis=1)
+    de = a * (da - np.add.reduceat(a * da, starts)[bag])
+    g["u"] = (t * s).T @ de
+    dt, ds = de[:, None] * w["u"][None] * s * (1 - t * t), de[:, None] * w["u"][None] * t * s * (1 - s)
+    g["V"], g["U"] = h.T @ dt, h.T @ ds
+    dh = (dh + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
+    g["W"], g["b"] = x.T @ dh, dh.sum(axis=0)
+    return g
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 3, epochs: int = 40, batch: int = 64) -> AttentionModel:
     """Adam on the log loss; gradients written out. Bags keep their order, so reruns agree."""
     base = float(labels.mean()) if len(labels) else 0.5
     model = AttentionModel(base)
     if len(labels) == 0 or labels.min() == labels.max():
         return model
-    every = np.concatenate(bags).astype(float)
-    model.mean, model.scale = every.mean(axis=0), every.std(axis=0) + 0.02
+    total = sum(map(len, bags))
+    model.mean = sum(b.sum(axis=0, dtype=float) for b in bags) / total
+    model.scale = np.sqrt(sum(((b - model.mean) ** 2).sum(axis=0) for b in bags) / total) + 0.02
     rng = np.random.default_rng(seed)
     shape = {"W": (WIDTH, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "u": (GATE,), "c": (HIDDEN,), "d": (1,)}
     model.weights = {k: rng.normal(0, 0 if k in "bd" else 1 / np.sqrt(s[0]), s) for k, s in shape.items()}
@@ -136,23 +166,11 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 3, epochs: int
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
         for i in range(0, len(order), batch):
             own = order[i : i + batch]
-            part = [bags[j] for j in own]
-            sizes = np.fromiter(map(len, part), np.int64, len(part))
-            x = (np.concatenate(part) - model.mean) / model.scale
-            bag, starts = np.repeat(np.arange(len(part)), sizes), np.cumsum(sizes) - sizes
-            h, t, s, a, z, p = model.forward(x, bag, starts)
             w = model.weights
-            dz_out = (p - labels[own]) / len(own)
-            g = {"c": z.T @ dz_out, "d": np.array([dz_out.sum()])}
-            dz = dz_out[:, None] * w["c"][None]
-            dh = a[:, None] * dz[bag]
-            da = (dz[bag] * h).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, starts)[bag])
-            g["u"] = (t * s).T @ de
-            dt, ds = de[:, None] * w["u"][None] * s * (1 - t * t), de[:, None] * w["u"][None] * t * s * (1 - s)
-            g["V"], g["U"] = h.T @ dt, h.T @ ds
-            dh = (dh + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
-            g["W"], g["b"] = x.T @ dh, dh.sum(axis=0)
+            g = {k: np.zeros(s) for k, s in shape.items()}
+            for some in _parts(own, bags):
+                for k, part in _gradient(model, [bags[j] for j in some], labels[some], len(own)).items():
+                    g[k] += part
             step += 1
             for k in w:
                 grad = g[k] + 1e-4 * w[k]
@@ -176,18 +194,23 @@ def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch, sample: int =
             out = {"doc": [], "quality": [], "bag": []}
             for doc, quality, text in zip(*(c.to_pylist() for c in batch.columns)):
                 bag = passage_features((text or "").encode(), hashed)
-                if len(bag) > PASSAGES:
-                    bag = bag[np.linspace(0, len(bag) - 1, PASSAGES).astype(int)]
                 out["doc"].append(doc)
                 out["quality"].append(quality)
                 out["bag"].append(bag.tobytes())
             yield out
 
-    # At most 2 * sample bags of PASSAGES * WIDTH numbers.
-    rows = map_arrow(texts, encode, "doc long, quality int, bag binary").orderBy("doc", "bag").toArrow()
-    labels_ = np.array(rows["quality"].to_pylist(), float)
-    bags = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in rows["bag"].to_pylist()]
-    return train(bags, labels_)
+    # At most 2 * sample bags, one at a time to the file.
+    found = scratch.write(map_arrow(texts, encode, "doc long, quality int, bag binary"), "bags")
+    with tempfile.TemporaryFile() as file:
+        marks_, sizes = [], []
+        for row in found.orderBy("doc", "bag").toLocalIterator():
+            file.write(row["bag"])
+            marks_.append(row["quality"])
+            sizes.append(len(row["bag"]) // (4 * WIDTH))
+        file.flush()
+        every = np.memmap(file, np.float32, "r", shape=(sum(sizes), WIDTH)) if sizes else np.zeros((0, WIDTH), np.float32)
+        bags = np.split(every, np.cumsum(sizes)[:-1]) if sizes else []
+        return train(bags, np.array(marks_, float))
 
 
 def scores(documents: DataFrame, model: AttentionModel) -> DataFrame:

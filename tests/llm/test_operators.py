@@ -386,6 +386,21 @@ def test_attention_mil_held_out(spark, graded):
     assert {r["score"] for r in attention_mil.scores(docs, attention_mil.fit(docs, labels.limit(0), Scratch(spark, "t"))).collect()} == {0.5}
 
 
+def test_attention_trains_on_all_passages(spark, monkeypatch):
+    """Bags of long documents arrive whole, in any size of the parts that a step holds."""
+    rng = np.random.default_rng(3)
+    long_ = [words(rng, 64 * n, 500) for n in (90, 40, 1, 7)]
+    docs = frame(spark, long_)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    seen, real = [], attention_mil.train
+    monkeypatch.setattr(attention_mil, "train", lambda bags, marks: seen.append([np.array(b) for b in bags]) or real(bags, marks, epochs=3))
+    whole = attention_mil.fit(docs, labels, Scratch(spark, "t"))
+    assert all(np.array_equal(b, attention_mil.passage_features(t.encode(), TermHash())) for b, t in zip(seen[0], long_, strict=True))
+    monkeypatch.setattr(attention_mil, "PART", 50)
+    parts = attention_mil.fit(docs, labels, Scratch(spark, "t"))
+    assert all(np.allclose(whole.weights[k], parts.weights[k]) for k in whole.weights)
+
+
 def test_attention_gradient_is_right():
     """One step of training moves the loss as the written-out gradient says."""
     rng = np.random.default_rng(0)
