@@ -2,13 +2,15 @@
 
 A source's weight is a piecewise-linear function of training progress u in [0, 1]. Its integral, scaled
 to the source's target, is its cumulative demand D(u). Each source's documents stand in a fixed shuffled
-order (by MD5 of the doc_id); the copy that starts after c words of its source is trained on at position D^-1(c).
+order (by MD5 of the doc_id); the copy that starts after c words of its source is trained on at position D^-1(c), and a source's
+documents are read round and round until its demand is met at position 1. Documents are range-sorted by position.
 Targets: sources weigh ``weights`` in turn and share all words; a target stops at ``most`` times its source's
 size and the excess is shared again by weight (water filling, solved in closed form).
 
 Defined cases: a null text has size 0; the null source is a source of its own, last. Repeated rows are
-separate documents (ties in the order are broken by size). Documents of size 0 are taken 0 times.
-An empty table gives an empty result. Extra columns are kept by ``mixed`` and ignored by ``plan``.
+separate documents (ties in the order are broken by size); a null doc_id is ordered by its text's MD5. Documents of size 0 are
+taken 0 times and have no position, as those that the demand doesn't reach. An empty table gives an empty result. Extra columns
+are kept by ``mixed`` and ignored by ``plan``.
 
 Prefix sums go by bucket first (4096 hash ranges a source), so a source with a third of all rows is
 never sorted in one task.
@@ -83,12 +85,13 @@ def position(done: Column, target: Column, place: Column, shapes: Sequence[Seque
 
 
 def plan(documents: DataFrame, scratch: Scratch, weights: Sequence[int] = WEIGHTS, most: int = 3) -> DataFrame:
-    """documents(doc_id, text, source) -> doc_id, size, source, source_size, target, place, start, taken, position.
+    """documents(doc_id, text, source) -> doc_id, size, source, source_size, target, place, start, copies, taken, position, last_position.
 
-    ``start``: words of its source before the document; ``taken``: its words in floor(target) words read
-    round and round from the source's start, so every source's taken words add up to floor(target).
+    ``start``: words of its source before the document; ``copies``: how often the document begins before the demand of
+    floor(target) words is met, reading the source round and round; ``taken``: its words until then (the last copy may be cut), so every
+    source's taken words add up to floor(target); ``position`` and ``last_position``: where its first and last copy begin.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text").cast("string"), F.lit("")))
     sized = scratch.write(
         documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)),
         "sized",
@@ -108,23 +111,31 @@ def plan(documents: DataFrame, scratch: Scratch, weights: Sequence[int] = WEIGHT
         .join(offsets, F.col("source").eqNullSafe(F.col("osource")) & (F.col("bucket") == F.col("obucket")))
         .withColumn("start", F.col("before") + F.col("inner"))
     )
-    demand = F.floor("target").cast("long")
-    rounds = F.when(F.col("z") > 0, F.expr("cast(floor(target) as bigint) div z")).otherwise(F.lit(0))
-    rest = demand - rounds * F.col("z")
-    extra = F.least(F.col("size"), F.greatest(rest - F.col("start"), F.lit(0)))
+    demand, z, start, size = F.floor("target").cast("long"), F.col("z"), F.col("start"), F.col("size")
+    # The copies whose begin, c * z + start, lies before the demand: the positions below 1.
+    copies = F.when((size > 0) & (demand > start), F.expr("(cast(floor(target) as bigint) - start - 1) div z") + 1).otherwise(F.lit(0)).cast("long")
+    placed = placed.withColumn("copies", copies).withColumn("last", (F.col("copies") - 1) * z + start)
+    at = lambda done: F.when(F.col("copies") > 0, position(done, F.col("target"), F.col("place")))
     return placed.select(
         "doc_id",
         "size",
         "source",
-        F.col("z").alias("source_size"),
+        z.alias("source_size"),
         "target",
         "place",
         "start",
-        (rounds * F.col("size") + extra).alias("taken"),
-        F.when(F.col("target") > 0, position(F.col("start"), F.col("target"), F.col("place"))).alias("position"),
+        "copies",
+        F.when(F.col("copies") > 0, (F.col("copies") - 1) * size + F.least(size, demand - F.col("last"))).otherwise(F.lit(0)).cast("long").alias("taken"),
+        at(start).alias("position"),
+        at(F.col("last")).alias("last_position"),
     )
 
 
+def by_position(planned: DataFrame) -> DataFrame:
+    """A plan in training order: range-partitioned and sorted by the first copy's position; documents that are not taken come first."""
+    return planned.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "size")
+
+
 def mixed(documents: DataFrame, scratch: Scratch, weights: Sequence[int] = WEIGHTS, most: int = 3) -> DataFrame:
     """The mix itself: every document as often as it is taken, range-sorted by training position.
 

@@ -55,7 +55,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = curriculum.plan(table(spark, sf_dir, "documents"), Scratch(spark, "curriculum"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum.by_position(planned.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "last_position"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

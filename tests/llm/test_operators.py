@@ -290,6 +290,39 @@ def test_curriculum_targets_and_positions(spark, texts):
     assert curriculum.plan(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_curriculum_reads_sources_round_and_round(spark, texts):
+    """Copies, words and positions of every document by walking its source word by word, and the plan's order."""
+    sources = {i: [None, "a", "b", "c", "z"][min(i % 7, 4)] for i in range(len(texts))}
+    docs = frame(spark, texts, sources)
+    docs = docs.union(docs.filter("doc_id = 3")).union(docs.filter("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    plan = curriculum.plan(docs, Scratch(spark, "t"))
+    rows = curriculum.by_position(plan).toPandas()
+    assert len(rows) == len(texts) + 2 and rows.position.fillna(-1.0).is_monotonic_increasing
+    place = {r.source if isinstance(r.source, str) else None: r.place for r in rows.itertuples()}
+    for source, turn in place.items():
+        own = rows[rows.source.isna() if source is None else rows.source == source]
+        key = lambda r: hashlib.md5((texts[9] if pd.isna(r.doc_id) else str(int(r.doc_id))).encode()).hexdigest()
+        turned = sorted(own.itertuples(), key=key)
+        demand, done, begun, taken = int(own.target.iloc[0]), 0, [[] for _ in turned], [0] * len(turned)
+        while done < demand:
+            for i, r in enumerate(turned):
+                if r.size and done < demand:
+                    begun[i].append(done)
+                    taken[i] += min(r.size, demand - done)
+                    done += r.size
+        shape = curriculum.SHAPES[turn % 3]
+        grid = np.linspace(0, 1, 20_001)
+        weight = np.interp(grid, np.linspace(0, 1, len(shape)), shape)
+        met = np.concatenate([[0], np.cumsum(weight[1:] + weight[:-1])]) / (weight[1:] + weight[:-1]).sum()
+        for i, r in enumerate(turned):
+            assert (r.copies, r.taken) == (len(begun[i]), taken[i])
+            if begun[i]:
+                at = [float(np.interp(b / r.target, met, grid)) for b in (begun[i][0], begun[i][-1])]
+                assert [r.position, r.last_position] == pytest.approx(at, abs=1e-3)
+            else:
+                assert pd.isna(r.position) and pd.isna(r.last_position)
+
+
 def test_curriculum_position_inverts_the_integral(spark):
     for place, shape in enumerate(curriculum.SHAPES):
         grid = np.linspace(0, 1, 20_001)
