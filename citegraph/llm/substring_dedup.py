@@ -2,40 +2,49 @@
 
 A window is ``WINDOW`` consecutive words of one document. Its fingerprint is the least 64-bit hash of the
 ``GRAM``-word sequences in it, so equal windows have equal fingerprints and neighbouring windows mostly share theirs:
-one index row stands for a whole run of windows (about one row in eight words).
+one index row stands for a whole run of windows (about one row in eight words) and holds their verifying hashes.
 
-The index is a set of immutable runs, each a table sorted by fingerprint. A batch of documents is appended as a new run;
-``FANOUT`` runs of a level are merged into one of the next. Fingerprints met in two places, in whichever runs, name the candidates.
-These are verified: every candidate window is hashed again over all its words with a second 64-bit
-hash, and only windows equal in both hashes count as repeats. All but the first (smaller doc_id, earlier start) are repeats.
+The index is a set of immutable runs, each a table sorted by fingerprint and cut into the same buckets. A new batch of documents is
+shuffled once into a run of its own, which is merge-joined with every live run, bucket by bucket: history is read in order and
+not shuffled. Rows whose fingerprint occurs in history, or twice in the batch, are verified window by window; a window
+that stands in an older batch, or earlier in its own (smaller doc_id, earlier start), is a repeat. Then ``fanout`` neighbouring runs
+of a level are merged into one of the next, where of rows with the same windows the oldest stays. A batch never reads an older text.
 
-An index that is kept holds that second hash of every window in its runs, so a new batch is deduplicated against history without
-the older texts: what stands in an older document is a repeat. The index that ``dedup`` makes for itself needs none, as all its texts are at hand.
+Verification: fingerprints come from one half of a word's 128-bit hash, verifying hashes of all ``WINDOW`` words from the other,
+so windows that count as equal agree in a hash of 64 bits besides the 64 of the fingerprint, drawn from independent bits of each word.
 
 Hot passages: each task first settles the repeats among its own rows; only its first occurrences of a window go
-through the shuffle, so a passage that a third of all documents share arrives once for each slice of 8 MB of text.
+through the shuffle, so a passage that a third of all documents share arrives once for each slice of 8 MB of text. Fingerprints of more
+than ``HOT`` rows (a common sequence in ever new surroundings) are split by window, so that no task gathers them.
 
 Defined cases: null and empty texts have no words. Texts shorter than a window lose nothing. Rows that repeat
 doc_id and text count as one document (all keep the same words); rows that repeat a doc_id with another text are documents ordered by
-a hash of the text. A null doc_id comes first. Extra columns are ignored.
+a hash of the text. A null doc_id comes first. A batch that is added again meets its own rows, which are no repeats of
+themselves. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegraph.llm.common import NULL_ID, Scratch, TermHash, as_signed, map_arrow, release_shuffles
+from citegraph.llm.common import NULL_ID, Scratch, as_signed, map_arrow, release_shuffles
 
 WINDOW = 20
 GRAM = 5
 FANOUT = 4
+BATCHES = 4
+#: Rows of a fingerprint from which they are split by window.
+HOT = 100_000
 _SHIFTS = (1, 2, 4, 8)  # least of 16 neighbours, by doubling
 assert WINDOW - GRAM + 1 == 16
+_HALF = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,45 +54,67 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _rolling(words: np.ndarray, length: int, factor: int) -> np.ndarray:
-    """Mixed polynomial hash of every ``length`` consecutive word hashes."""
-    n = len(words) - length + 1
-    if n <= 0:
+    """Mixed polynomial hash of every ``length`` consecutive word hashes, by doubling."""
+    if len(words) < length:
         return np.zeros(0, np.uint64)
-    total, f = words[:n].copy(), np.uint64(factor)
-    for i in range(1, length):
-        total *= f
-        total += words[i : i + n]
+    total, done, size = None, 0, 1  # the hash of the first ``done`` words; ``block``: that of ``size`` words
+    block = words
+    while size <= length:
+        if length & size:
+            if total is None:
+                total, done = block, size
+            else:  # the words so far, then a block
+                n = len(words) - done - size + 1
+                total = total[:n] * np.uint64(pow(factor, size, 1 << 64)) + block[done : done + n]
+                done += size
+        if 2 * size <= length:
+            block = block[:-size] * np.uint64(pow(factor, size, 1 << 64)) + block[size:]
+        size *= 2
     return _mix(total)
 
 
+class WordHashes(dict):
+    """Word (bytes) -> its place in two arrays, the halves of its 128-bit hash; forgets all at a text's beginning once it knows a million."""
+
+    def __init__(self) -> None:
+        self.low, self.high = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = len(self)
+        if at == len(self.low):
+            self.low, self.high = (np.concatenate([x, np.zeros(at, np.uint64)]) for x in (self.low, self.high))
+        value = xxhash.xxh3_128_intdigest(word)
+        self.low[at], self.high[at] = value & _HALF, value >> 64
+        self[word] = at
+        return at
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > 1_000_000:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.low[at], self.high[at]
+
+
 class Windows:
-    """Word hashes and window fingerprints of one text."""
+    """Window fingerprints and verifying hashes of one text."""
 
-    def __init__(self, text: bytes, hashed: TermHash) -> None:
-        parts = text.split()
-        self.words = np.fromiter(map(hashed.__getitem__, parts), np.uint64, len(parts))
+    def __init__(self, text: bytes, hashed: WordHashes) -> None:
+        self.low, self.high = hashed.of(text.split())
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows that share a fingerprint: fingerprint, first window, windows, and whether a GRAM repeats close by."""
-        grams = _rolling(self.words, GRAM, 0x9E3779B97F4A7C15)
-        if len(self.words) < WINDOW:
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows that share a fingerprint: fingerprint, first window, windows."""
+        if len(self.low) < WINDOW:
             none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none, none.astype(bool)
-        least = grams
+            return none.view(np.uint64), none, none
+        least = _rolling(self.low, GRAM, 0x9E3779B97F4A7C15)
         for shift in _SHIFTS:
             least = np.minimum(least[:-shift], least[shift:])
         begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        count = np.diff(np.append(begin, len(least)))
-        order = np.argsort(grams, kind="stable")
-        close = (grams[order][1:] == grams[order][:-1]) & (np.diff(order) <= 2 * WINDOW)
-        marks = np.zeros(len(grams) + 1, np.int64)
-        marks[order[:-1][close] + 1] = 1
-        marks = np.cumsum(marks)
-        return least[begin], begin, count, marks[begin + count + 15] > marks[begin]
+        return least[begin], begin, np.diff(np.append(begin, len(least)))
 
     def hashes(self) -> np.ndarray:
         """The verifying hash of every window."""
-        return _rolling(_mix(self.words + np.uint64(0xD6E8FEB86659FD93)), WINDOW, 0xC2B2AE3D27D4EB4F)
+        return _rolling(self.high, WINDOW, 0xC2B2AE3D27D4EB4F)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -92,196 +123,207 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
+#: A row of a run; without digests it is a stretch of windows that its slice has settled as repeats (fp then only spreads it).
+ENTRY = "fp long, batch int, id long, tie long, begin int, count int, digests binary"
+_SPAN = "id long, tie long, begin int, count int"
+
+
 class FingerprintIndex:
-    """Runs under ``path``, named level-first-last by the batches they hold; a run within a larger finished one is dead.
+    """Runs under ``path``, named level-first-last-buckets by the batches they hold; a run within a larger finished one is dead.
 
     A killed append or compaction leaves a folder without _SUCCESS, which is ignored.
     """
 
-    SCHEMA = "fp long, times int, id long, tie long, begin int, count int"
-    KEPT = SCHEMA + ", digests binary"
-
-    def __init__(self, spark, path: str, fanout: int = FANOUT, digests: bool = True) -> None:
+    def __init__(self, spark, path: str, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.path, self.fanout = spark, path, fanout
-        self.schema = self.KEPT if digests else self.SCHEMA
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._tables: list[str] = []
 
     def _fs(self):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         return path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def runs(self) -> list[tuple[int, int, int]]:
-        """(level, first batch, last batch) of the live runs, oldest first."""
+    def _folder(self, run: tuple) -> str:
+        return f"{self.path}/{'-'.join(map(str, run))}"
+
+    def runs(self) -> list[tuple[int, int, int, int]]:
+        """(level, first batch, last batch, buckets) of the live runs, oldest first."""
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
             return []
         found = []
         for status in fs.listStatus(path(self.path)):
             name = status.getPath().getName()
-            if re.fullmatch(r"\d+-\d+-\d+", name) and fs.exists(path(f"{self.path}/{name}/_SUCCESS")):
+            if re.fullmatch(r"\d+-\d+-\d+-\d+", name) and fs.exists(path(f"{self.path}/{name}/_SUCCESS")):
                 found.append(tuple(map(int, name.split("-"))))
         live = [r for r in found if not any(o != r and o[0] > r[0] and o[1] <= r[1] and r[2] <= o[2] for o in found)]
         return sorted(live, key=lambda r: r[1])
 
-    def _write(self, rows: DataFrame, level: int, first: int, last: int) -> None:
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{level}-{first}-{last}")
-
-    def _read(self, runs) -> DataFrame:
-        names = [f"{self.path}/{'-'.join(map(str, r))}" for r in runs]
-        return self.spark.read.schema(self.schema).parquet(*names) if names else self.spark.createDataFrame([], self.schema)
+    def _name(self) -> str:
+        self._tables.append(f"run_{uuid.uuid4().hex}")
+        return self._tables[-1]
 
-    def entries(self, batch: DataFrame) -> DataFrame:
-        """The rows of a batch's run."""
-        return map_arrow(batch, _index_rows_with_digests if self.schema == self.KEPT else _index_rows, self.schema)
-
-    def append(self, batch: DataFrame) -> None:
-        """A new run for a batch of documents (id, tie, text), then whatever merges are due."""
-        runs = self.runs()
-        turn = runs[-1][2] + 1 if runs else 0
-        self._write(self.entries(batch).sortWithinPartitions("fp"), 0, turn, turn)
-        self.compact()
+    def _write(self, rows: DataFrame, run: tuple) -> None:
+        """rows are partitioned by bucket and sorted by fp."""
+        fs, path = self._fs()
+        fs.delete(path(self._folder(run)), True)
+        writer = rows.write.bucketBy(run[3], "fp").sortBy("fp").format("parquet")
+        writer.option("compression", "lz4").option("parquet.enable.dictionary", "false").option("path", self._folder(run)).saveAsTable(self._name())
+
+    def _read(self, run: tuple) -> DataFrame:
+        """A run as a bucketed table; the catalog entry lives as long as this object, the files outlive it."""
+        name = self._name()
+        self.spark.sql(f"CREATE TABLE {name} ({ENTRY}) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {run[3]} BUCKETS LOCATION '{self._folder(run)}'")
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Forget the catalog entries."""
+        while self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")
+
+    def append(self, batch: DataFrame, scratch: Scratch, compact: bool = True) -> DataFrame:
+        """A new run for a batch of documents (id, tie, text) -> id, tie, begin, count: the batch's windows that are repeats, as stretches."""
+        try:
+            history = self.runs()
+            turn = history[-1][2] + 1 if history else 0
+            run = (0, turn, turn, self.buckets)
+            rows = map_arrow(batch, _entries(turn), ENTRY)
+            self._write(rows.repartition(self.buckets, "fp").sortWithinPartitions("fp"), run)
+            release_shuffles(self.spark)
+            gone = self._merge_join(run, history, scratch)
+            if compact:
+                self.compact()
+        finally:
+            self.close()
+        return gone
+
+    def _merge_join(self, run: tuple, history: list[tuple], scratch: Scratch) -> DataFrame:
+        """What a new run repeats of itself and of the runs before it."""
+        name = f"{run[1]}-{uuid.uuid4().hex[:8]}"
+        every = self._read(run)
+        fresh, settled = every.filter("digests is not null"), every.filter("digests is null")
+        met = [self._read(r).filter("digests is not null").join(fresh.select("fp"), "fp", "left_semi").select(*fresh.columns) for r in history]
+        known = fresh.limit(0)
+        for rows in met:
+            known = known.union(rows)
+        known = scratch.write(known, f"known-{name}", "lz4")
+        times = fresh.groupBy("fp").agg(F.count("*").alias("n")).union(known.groupBy("fp").agg(F.count("*").alias("n")))
+        times = times.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1")
+        places = [t.join(times, "fp").select(*fresh.columns, (F.col("n") > HOT).alias("hot"), F.lit(new).alias("new")) for t, new in ((fresh, True), (known, False))]
+        split = map_arrow(places[0].union(places[1]), _split_hot, ENTRY + ", new boolean")
+        laid = split.repartition("fp").sortWithinPartitions("fp", "batch", "id", "tie", "begin")
+        gone = map_arrow(laid, _first_wins, _SPAN).union(settled.select("id", "tie", "begin", "count"))
+        gone = scratch.write(gone, f"gone-{name}")
+        scratch.drop(f"known-{name}")
+        release_shuffles(self.spark)
+        return gone
 
     def compact(self) -> None:
         """Merge any ``fanout`` neighbouring runs of a level into one sorted run of the next."""
         while True:
             runs = self.runs()
-            level = next((v for v in {r[0] for r in runs} if sum(r[0] == v for r in runs) >= self.fanout), None)
+            level = next((v for v in sorted({r[0] for r in runs}) if sum(r[0] == v for r in runs) >= self.fanout), None)
             if level is None:
                 return
             due = [r for r in runs if r[0] == level][: self.fanout]
-            self._write(self._read(due).sortWithinPartitions("fp"), level + 1, due[0][1], due[-1][2])
+            rows = self._read(due[0])
+            for run in due[1:]:
+                rows = rows.union(self._read(run))
+            turn = Window.partitionBy("fp", "digests").orderBy("batch", "id", "tie", "begin")
+            merged = rows.filter("digests is not null").withColumn("turn", F.row_number().over(turn)).filter("turn = 1").drop("turn")
+            self._write(merged.sortWithinPartitions("fp"), (level + 1, due[0][1], due[-1][2], due[0][3]))
+            release_shuffles(self.spark)
             fs, path = self._fs()
             for r in due:
-                fs.delete(path(f"{self.path}/{'-'.join(map(str, r))}"), True)
-
-    def history(self, keys: DataFrame) -> DataFrame:
-        """The rows of the live runs but those of the documents (id, tie) given."""
-        digests = F.coalesce("digests", F.raise_error(F.lit("a run without verifying hashes: build the index anew")))
-        return self._read(self.runs()).withColumn("digests", digests).join(keys.select("id", "tie").distinct(), ["id", "tie"], "left_anti")
-
-    def repeated(self, rows: DataFrame | None = None) -> DataFrame:
-        """id, tie, begin, count: windows whose fingerprint occurs in two places or more, of the index or of such rows."""
-        rows = self._read(self.runs()) if rows is None else rows
-        return map_arrow(
-            map_arrow(rows.select("fp", "times", "id", "tie", "begin", "count"), _settle_counts, "key long, known int, id long, tie long, begin int, count int")
-            .repartition("key")
-            .sortWithinPartitions("key"),
-            _twice,
-            "id long, tie long, begin int, count int",
-        )
-
-
-def _index_rows_with_digests(batches):
-    return _index_rows(batches, True)
+                fs.delete(path(self._folder(r)), True)
+
+
+def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Rows of so many 64-bit words each, from their values on end."""
+    offsets = np.concatenate([[0], np.cumsum(8 * counts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    """The 64-bit words of a binary column without nulls, on end."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.int64) if len(column) else np.zeros(0, np.int64)
+
+
+def _entries(turn: int):
+    """The rows of a batch's run: runs of windows, without those that hold nothing but repeats of their slice; these as settled stretches."""
+
+    def run(batches):
+        hashed = WordHashes()
+        for batch in batches:
+            ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            fps, begins, counts, rows, digests = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64))
+            for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
+                windows = Windows(text.as_py(), hashed)
+                found, begin, count = windows.fingerprints()
+                for held, part in ((fps, found), (begins, begin), (counts, count), (rows, np.full(len(found), i)), (digests, windows.hashes())):
+                    held.append(part)
+            rfp, rbegin, rcount, rrow, digest = map(np.concatenate, (fps, begins, counts, rows, digests))
+            if not len(rfp):
+                continue
+            ends = np.cumsum(rcount)
+            fp, row = np.repeat(rfp, rcount), np.repeat(rrow, rcount)
+            at = np.arange(len(fp)) - np.repeat(ends - rcount, rcount) + np.repeat(rbegin, rcount)
+            later = np.zeros(len(fp), bool)
+            both = digest ^ _mix(fp)
+            order = np.argsort(both)
+            twice = np.flatnonzero(both[order][1:] == both[order][:-1])
+            some = np.unique(np.concatenate([order[twice], order[twice + 1]]))  # windows with a double
+            order = some[np.lexsort((at[some], ties[row[some]], ids[row[some]], digest[some], fp[some]))]
+            same = (fp[order][1:] == fp[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+            later[order[1:][same]] = True
+            later[order] &= ~_twin_of_first(same, ids[row[order]], ties[row[order]], at[order])
+            sent = np.flatnonzero(np.add.reduceat(~later, ends - rcount) > 0)
+            kept = np.zeros(len(rfp), bool)
+            kept[sent] = True
+            gone_row, gone_at, gone_n = _stretches(row[later], at[later])
+            none = len(gone_row)
+            spread = _mix(ids[gone_row].view(np.uint64) + gone_at.astype(np.uint64))
+            yield {
+                "fp": pa.array(as_signed(np.concatenate([rfp[sent], spread]))),
+                "batch": pa.array(np.full(len(sent) + none, turn, np.int32)),
+                "id": pa.array(np.concatenate([ids[rrow[sent]], ids[gone_row]])),
+                "tie": pa.array(np.concatenate([ties[rrow[sent]], ties[gone_row]])),
+                "begin": pa.array(np.concatenate([rbegin[sent], gone_at]).astype(np.int32)),
+                "count": pa.array(np.concatenate([rcount[sent], gone_n]).astype(np.int32)),
+                "digests": pa.concat_arrays([_binary(digest[np.repeat(kept, rcount)], rcount[sent]), pa.nulls(none, pa.binary())]),
+            }
+
+    return run
+
+
+def _split_hot(batches):
+    """Rows of hot fingerprints as one row for each window, under a fingerprint of its own; equal windows still meet."""
+    names = [f.split()[0] for f in ENTRY.split(", ")]
+    for batch in batches:
+        hot = np.asarray(batch.column(7).to_numpy(zero_copy_only=False), bool)
+        if (~hot).any():
+            cool = batch.filter(pa.array(~hot))
+            yield {n: cool.column(i) for i, n in enumerate(names)} | {"new": cool.column(8)}
+        if hot.any():
+            rows = batch.filter(pa.array(hot))
+            fp, number, ids, ties, begin, count = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            digest = _flat(rows.column(6))
+            row = np.repeat(np.arange(len(fp)), count)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begin[row]
+            own = _mix(fp[row].view(np.uint64) ^ digest.view(np.uint64))
+            values = (as_signed(own), number[row], ids[row], ties[row], at.astype(np.int32), np.ones(len(row), np.int32))
+            yield dict(zip(names, map(pa.array, values))) | {"digests": _binary(digest, np.ones(len(row), np.int64)), "new": rows.column(8).take(pa.array(row))}
 
 
-def _index_rows(batches, with_digests: bool = False):
-    hashed = TermHash()
-    for batch in batches:
-        columns = {k: [] for k in ("fp", "times", "id", "tie", "begin", "count")}
-        digests = []
-        ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
-            windows = Windows(text.as_py(), hashed)
-            fps, begin, count, again = windows.fingerprints()
-            if with_digests:
-                raw = as_signed(windows.hashes())
-                digests += [raw[b : b + n].tobytes() for b, n in zip(begin.tolist(), count.tolist())]
-            for k, v in zip(columns, (as_signed(fps), 1 + again.astype(np.int32), np.full(len(fps), ids[i]), np.full(len(fps), ties[i]), begin.astype(np.int32), count.astype(np.int32))):
-                columns[k].append(v)
-        yield {k: pa.array(np.concatenate(v)) for k, v in columns.items()} | ({"digests": pa.array(digests, pa.binary())} if with_digests else {})
-
-
-def _settle_counts(batches):
-    """Fingerprints met twice within a slice are repeated for sure: their rows pass (known 1, spread), and one row tells the others (known 2)."""
-    for batch in batches:
-        fp, times, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        keys, at = np.unique(fp, return_inverse=True)
-        total = np.bincount(at, times)
-        sure = total[at] >= 2
-        told = keys[total >= 2]
-        zeros = np.zeros(len(told), np.int64)
-        key = np.where(sure, _mix(rest[0].view(np.uint64) + rest[2].astype(np.uint64)).view(np.int64), fp)
-        columns = [np.concatenate([key, told]), np.concatenate([sure.astype(np.int32), np.full(len(told), 2, np.int32)])]
-        columns += [np.concatenate([c, zeros.astype(c.dtype)]) for c in rest]
-        yield dict(zip(("key", "known", "id", "tie", "begin", "count"), map(pa.array, columns)))
-
-
-def _twice(batches):
-    """Of sorted rows, those sure, and those whose key holds another row that is not merely sure."""
-    names = ("key", "known", "id", "tie", "begin", "count")
-    carry = None
-    for batch in batches:
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if carry:
-            rows = [np.concatenate(x) for x in zip(carry, rows)]
-        cut = np.searchsorted(rows[0], rows[0][-1])
-        # A long last group: its known rows go out now, one of each kind is enough to decide the rest.
-        carry = [x[cut:] for x in rows]
-        yield from _decide(dict(zip(names, [x[:cut] for x in rows])))
-    if carry:
-        yield from _decide(dict(zip(names, carry)))
-
-
-def _decide(rows):
-    if len(rows["key"]):
-        keys, at = np.unique(rows["key"], return_inverse=True)
-        total = np.bincount(at, np.where(rows["known"] == 1, 0, np.where(rows["known"] == 2, 2, 1)))
-        keep = (rows["known"] == 1) | ((rows["known"] == 0) & (total[at] >= 2))
-        yield {k: pa.array(rows[k][keep]) for k in ("id", "tie", "begin", "count")}
-
-
-def _verify_rows(batches):
-    """Hash the candidate windows; what is no slice-wide first is a repeat (fp null), the rest goes on by fingerprint."""
-    hashed = TermHash()
-    for batch in batches:
-        ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        spans = batch.column(3).to_pylist()
-        parts = []  # fp, hash, row, window
-        runs = []
-        for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
-            windows = Windows(text.as_py(), hashed)
-            fps, begin, count, _ = windows.fingerprints()
-            wanted = np.isin(begin, np.fromiter((s["begin"] for s in spans[i]), np.int64, len(spans[i])))
-            fps, begin, count = fps[wanted], begin[wanted], count[wanted]
-            at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-            parts.append((np.repeat(fps, count), windows.hashes()[at], np.full(len(at), i), at))
-            runs.append((np.full(len(fps), i), fps, begin, count))
-        fp, digest, row, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((at, ties[row], ids[row], digest, fp))
-        same = (fp[order][1:] == fp[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-        later = np.zeros(len(fp), bool)
-        later[order[1:][same]] = True
-        later &= ~_twin_of_first(order, same, ids[row], ties[row], at)
-        rrow, rfp, rbegin, rcount = (np.concatenate(x) for x in zip(*runs))
-        ends = np.cumsum(rcount)
-        fresh = np.add.reduceat(~later, ends - rcount) > 0 if len(rcount) else np.zeros(0, bool)
-        offsets = np.concatenate([[0], ends])
-        sent = np.flatnonzero(fresh)
-        raw = as_signed(digest)
-        out_fp = [as_signed(rfp)[sent]]
-        out_id, out_tie, out_begin, out_count = [ids[rrow[sent]]], [ties[rrow[sent]]], [rbegin[sent]], [rcount[sent]]
-        digests = [raw[offsets[i] : offsets[i + 1]].tobytes() for i in sent.tolist()]
-        gone_row, gone_at, gone_n = _stretches(row[later], at[later])
-        valid = np.concatenate([np.ones(len(sent), bool), np.zeros(len(gone_row), bool)])
-        out_fp.append(np.zeros(len(gone_row), np.int64))
-        yield {
-            "fp": pa.array(np.concatenate(out_fp), mask=~valid),
-            "id": pa.array(np.concatenate([*out_id, ids[gone_row]])),
-            "tie": pa.array(np.concatenate([*out_tie, ties[gone_row]])),
-            "begin": pa.array(np.concatenate([*out_begin, gone_at]).astype(np.int32)),
-            "count": pa.array(np.concatenate([*out_count, gone_n]).astype(np.int32)),
-            "digests": pa.array(digests + [None] * len(gone_row), pa.binary()),
-        }
-
-
-def _twin_of_first(order, same, ids, ties, at) -> np.ndarray:
-    """Entries that are their group's first itself, met again in an identical row."""
-    start = np.concatenate([[0], np.flatnonzero(~same) + 1]) if len(order) else np.zeros(0, np.int64)
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
-    first = order[start[group]] if len(order) else order
-    twin = np.zeros(len(order), bool)
-    twin[order] = (ids[order] == ids[first]) & (ties[order] == ties[first]) & (at[order] == at[first])
-    return twin
+def _twin_of_first(same, ids, ties, at) -> np.ndarray:
+    """Of sorted windows (``same``: equal to the one before), those that are their group's first itself, met again in an identical row."""
+    if not len(ids):
+        return np.zeros(0, bool)
+    start = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    first = start[np.concatenate([[0], np.cumsum(~same)])]
+    return (ids == ids[first]) & (ties == ties[first]) & (at == at[first])
 
 
 def _stretches(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,50 +335,39 @@ def _stretches(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _first_wins(batches):
-    """Rows sorted by (fp, history first, id, tie, begin): windows seen before under their fingerprint are repeats."""
+    """Rows sorted by (fp, batch, id, tie, begin): of the new ones, the windows seen before under their fingerprint."""
     held_fp, held, held_key = None, np.zeros(0, np.int64), None  # the last fingerprint's digests, sorted, and where each came first
     for batch in batches:
-        missing = np.asarray(batch.column(0).is_null())
-        cols = [batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) if i == 0 else batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        fp, ids, ties, begin, count = cols
-        out = [[ids[missing]], [ties[missing]], [begin[missing]], [count[missing]]]
-        keep = ~missing
-        if keep.any():
-            fp, ids, ties, begin, count = (c[keep] for c in (fp, ids, ties, begin, count))
-            digest = np.frombuffer(b"".join(batch.column(5).filter(pa.array(keep)).to_pylist()), np.int64)
-            row = np.repeat(np.arange(len(fp)), count)
-            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[row]
-            wfp = fp[row]
-            order = np.lexsort((np.arange(len(row)), digest, wfp))
-            same = (wfp[order][1:] == wfp[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-            later = np.zeros(len(row), bool)
-            later[order[1:][same]] = True
-            if held_fp is not None and wfp[0] == held_fp:
-                seen = np.isin(digest, held) & (wfp == held_fp)
-                later |= seen
-            later &= ~_twin_of_first(order, same, ids[row], ties[row], at)
-            if held_fp is not None and wfp[0] == held_fp:
-                # Twins of a first from an earlier batch: same document and place.
-                spot = np.searchsorted(held, digest)
-                spot[spot == len(held)] = 0
-                seen = (wfp == held_fp) & (held[spot] == digest)
-                first = held_key[spot]
-                own = np.stack([ids[row], ties[row], at], axis=1)
-                later |= seen
-                later &= ~(seen & (own == first).all(axis=1))
-            tail = wfp == fp[-1]
-            digests, where = np.unique(digest[tail], return_index=True)
-            keys = np.stack([ids[row][tail], ties[row][tail], at[tail]], axis=1)[where]
-            if held_fp == fp[-1]:
-                new = ~np.isin(digests, held)
-                digests, keys = np.concatenate([held, digests[new]]), np.concatenate([held_key, keys[new]])
-                by = np.argsort(digests)
-                digests, keys = digests[by], keys[by]
-            held_fp, held, held_key = fp[-1], digests, keys
-            gone_row, gone_at, gone_n = _stretches(row[later], at[later])
-            for o, v in zip(out, (ids[gone_row], ties[gone_row], gone_at.astype(np.int32), gone_n.astype(np.int32))):
-                o.append(v)
-        yield dict(zip(("id", "tie", "begin", "count"), (pa.array(np.concatenate(o)) for o in out)))
+        fp, _, ids, ties, begin, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        new = np.asarray(batch.column(7).to_numpy(zero_copy_only=False), bool)
+        digest = _flat(batch.column(6))
+        row = np.repeat(np.arange(len(fp)), count)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begin[row]
+        wfp = fp[row]
+        order = np.lexsort((np.arange(len(row)), digest, wfp))
+        same = (wfp[order][1:] == wfp[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+        later = np.zeros(len(row), bool)
+        later[order[1:][same]] = True
+        later[order] &= ~_twin_of_first(same, ids[row[order]], ties[row[order]], at[order])
+        if held_fp is not None and wfp[0] == held_fp:
+            # What an earlier batch of rows held is a repeat, unless it is that very window: same document and place.
+            spot = np.searchsorted(held, digest)
+            spot[spot == len(held)] = 0
+            seen = (wfp == held_fp) & (held[spot] == digest)
+            itself = (np.stack([ids[row], ties[row], at], axis=1) == held_key[spot]).all(axis=1)
+            later = np.where(seen, ~itself, later)
+        tail = wfp == fp[-1]
+        digests, where = np.unique(digest[tail], return_index=True)
+        keys = np.stack([ids[row][tail], ties[row][tail], at[tail]], axis=1)[where]
+        if held_fp == fp[-1]:
+            fresh = ~np.isin(digests, held)
+            digests, keys = np.concatenate([held, digests[fresh]]), np.concatenate([held_key, keys[fresh]])
+            by = np.argsort(digests)
+            digests, keys = digests[by], keys[by]
+        held_fp, held, held_key = fp[-1], digests, keys
+        later &= new[row]
+        gone_row, gone_at, gone_n = _stretches(row[later], at[later])
+        yield {"id": pa.array(ids[gone_row]), "tie": pa.array(ties[gone_row]), "begin": pa.array(gone_at.astype(np.int32)), "count": pa.array(gone_n.astype(np.int32))}
 
 
 def _apply(batches):
@@ -355,46 +386,28 @@ def _apply(batches):
         yield out
 
 
-def dedup(documents: DataFrame, scratch: Scratch, index: FingerprintIndex | None = None, batches: int = FANOUT) -> DataFrame:
+def dedup(documents: DataFrame, scratch: Scratch, index: FingerprintIndex | None = None, batches: int = BATCHES) -> DataFrame:
     """documents(doc_id, text) -> id, n_words, n_removed, kept (the remaining words, space-joined).
 
-    With an ``index`` nothing is appended to it, and it may hold these documents or not; windows that stand in its other
-    documents are repeats, whatever their doc_id. Otherwise the documents go into a new one in ``batches`` by ranges of doc_id.
+    With an ``index`` the documents are its next batch: windows that stand in its older batches are repeats, whatever
+    their doc_id. Otherwise they go into an index of their own in ``batches`` by ascending ranges of doc_id.
     """
     spark = documents.sparkSession
     rows = keyed(documents)
-    own = index is None
-    if own:
-        index = FingerprintIndex(spark, f"{scratch.root}/index", digests=False)
+    if index is None:
+        own = FingerprintIndex(spark, f"{scratch.root}/index", fanout=2)
         steps = [i / batches for i in range(1, batches)]
         cuts = sorted(set(rows.agg(F.percentile_approx("id", steps, 1_000)).head()[0] or []))
+        gone = None
         for low, high in zip([None, *cuts], [*cuts, None]):
             part = rows if low is None else rows.filter(F.col("id") > low)
-            index.append(part if high is None else part.filter(F.col("id") <= high))
-    if own:
-        repeated = index.repeated()
+            found = own.append(part if high is None else part.filter(F.col("id") <= high), scratch, compact=high is not None)
+            gone = found if gone is None else gone.union(found)
     else:
-        mine = scratch.write(index.entries(rows), "mine")
-        known = scratch.write(index.history(rows).join(mine.select("fp").distinct(), "fp", "left_semi").select(*mine.columns), "known")
-        repeated = index.repeated(mine.union(known))
-    spans = repeated.groupBy("id", "tie").agg(F.collect_list(F.struct("begin", "count")).alias("spans"))  # a document's own runs
-    spans = scratch.write(spans, "repeated")
-    if own:
+        gone = index.append(rows, scratch)
+    spans = scratch.write(gone.groupBy("id", "tie").agg(F.collect_list(F.struct("begin", "count")).alias("spans")), "gone")  # a document's own
+    if index is None:
         scratch.drop("index")
     release_shuffles(spark)
-    checked = map_arrow(
-        rows.join(F.broadcast(spans) if spans.count() == 0 else spans, ["id", "tie"]).select("id", "tie", "text", "spans"),
-        _verify_rows,
-        "fp long, id long, tie long, begin int, count int, digests binary",
-    )
-    checked = checked.withColumn("turn", F.lit(1))
-    if not own:
-        checked = checked.union(known.select("fp", "id", "tie", "begin", "count", "digests", F.lit(0)))
-    by = F.when(F.col("fp").isNull(), F.xxhash64("id", "begin")).otherwise(F.col("fp"))
-    sorted_ = checked.withColumn("by", by).repartition("by").sortWithinPartitions("by", "turn", "id", "tie", "begin").drop("by", "turn")
-    gone = map_arrow(sorted_, _first_wins, "id long, tie long, begin int, count int")
-    gone = scratch.write(gone.groupBy("id", "tie").agg(F.collect_list(F.struct("begin", "count")).alias("spans")), "gone")
-    scratch.drop("repeated")
-    release_shuffles(spark)
-    joined = rows.join(gone, ["id", "tie"], "left").select("id", "text", "spans")
+    joined = rows.join(spans, ["id", "tie"], "left").select("id", "text", "spans")
     return map_arrow(joined, _apply, "id long, n_words long, n_removed long, kept string")

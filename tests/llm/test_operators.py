@@ -89,7 +89,9 @@ def substring_oracle(texts):
     return out
 
 
-def test_substring_dedup_is_brute_force(spark, texts):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_substring_dedup_is_brute_force(spark, texts, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     repeats = ["a " * 60, "b c " * 40, "x " + "a " * 25]
     texts = [*texts, *repeats]
     rows = substring_dedup.dedup(frame(spark, texts), Scratch(spark, "t")).collect()
@@ -101,7 +103,7 @@ def test_substring_index_grows_by_batches_and_compacts(spark, texts):
     index = substring_dedup.FingerprintIndex(spark, f"{scratch.root}/index", fanout=2)
     docs = frame(spark, texts)
     for low in range(0, len(texts), 20):
-        index.append(substring_dedup.keyed(docs.filter(f"doc_id >= {low} and doc_id < {low + 20}")))
+        index.append(substring_dedup.keyed(docs.filter(f"doc_id >= {low} and doc_id < {low + 20}")), scratch)
     assert len(index.runs()) <= 2 and index.runs()[0][0] >= 1
     rows = substring_dedup.dedup(docs, scratch, index).collect()
     assert {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in rows} == substring_oracle(texts)
@@ -122,10 +124,10 @@ def test_substring_second_batch_meets_history(spark, texts, appended):
     history = [*texts[:40], texts[-3], "before " + passage]
     older = spark.createDataFrame([(1_000 + i, t) for i, t in enumerate(history)], "doc_id long, text string")
     for part in ("doc_id < 1020", "doc_id >= 1020"):
-        index.append(substring_dedup.keyed(older.filter(part)))
+        index.append(substring_dedup.keyed(older.filter(part)), scratch)
     new = frame(spark, batch)
     if appended:
-        index.append(substring_dedup.keyed(new))
+        index.append(substring_dedup.keyed(new), scratch)
     n = len(history)
     expected = {i - n: v for i, v in substring_oracle([*history, *batch]).items() if i >= n}
     rows = substring_dedup.dedup(new, scratch, index).collect()
