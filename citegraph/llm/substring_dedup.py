@@ -189,7 +189,7 @@ class FingerprintIndex:
             run = (0, turn, turn, self.buckets)
             rows = map_arrow(batch, _entries(turn), ENTRY)
             self._write(rows.repartition(self.buckets, "fp").sortWithinPartitions("fp"), run)
-            release_shuffles(self.spark)
+            release_shuffles(self.spark)  # those of the batch, and of the batch before
             gone = self._merge_join(run, history, scratch)
             if compact:
                 self.compact()
@@ -215,7 +215,6 @@ class FingerprintIndex:
         gone = map_arrow(laid, _first_wins, _SPAN).union(settled.select("id", "tie", "begin", "count"))
         gone = scratch.write(gone, f"gone-{name}")
         scratch.drop(f"known-{name}")
-        release_shuffles(self.spark)
         return gone
 
     def compact(self) -> None:
@@ -232,7 +231,6 @@ class FingerprintIndex:
             turn = Window.partitionBy("fp", "digests").orderBy("batch", "id", "tie", "begin")
             merged = rows.filter("digests is not null").withColumn("turn", F.row_number().over(turn)).filter("turn = 1").drop("turn")
             self._write(merged.sortWithinPartitions("fp"), (level + 1, due[0][1], due[-1][2], due[0][3]))
-            release_shuffles(self.spark)
             fs, path = self._fs()
             for r in due:
                 fs.delete(path(self._folder(r)), True)
