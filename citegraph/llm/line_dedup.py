@@ -10,7 +10,8 @@ whole token sets by integer arithmetic. The frequency table is bounded by (mean
 
 Long lists never give all their pairs: a list of more than ``LONG`` classes first offers each class just one earlier,
 fitting one. Only classes that this leaves unmatched are then held against the rest of their lists, so a swarm
-of near copies costs one pair each. Each slice of 8 MB of text settles its own equal lines before the shuffle.
+of near copies costs one pair each. Lists of words with ``HOT`` occurrences or more are cut by size bands. Each slice of 8 MB
+of text settles its own equal lines before the shuffle. Sets are equal if they agree in a key of 124 bits; words are told apart by 63.
 
 Defined cases: null and empty texts and blank lines are kept as they are. Rows that repeat doc_id and text lose the same lines;
 rows that repeat a doc_id with another text are ordered by a hash of the text. A null doc_id comes first.
@@ -36,6 +37,8 @@ LEAST = 1e-4
 LONG = 1_000
 #: Occurrences from which a word's list takes the way that never holds a whole list in memory; entries of a bucket of the other way.
 HOT, BUCKET = 500_000, 400_000
+#: Low bits of a class's key that tell apart classes whose other 60 bits are equal.
+ALIKE = 15
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -275,6 +278,7 @@ def _token_rows(ranks):
             numbers = (line[begins] - first_lines[rows]).astype(np.int32)
             mixed = _mix(flat.view(np.uint64))
             k, k2 = (np.add.reduceat(x, begins).view(np.int64) for x in (mixed, _mix(mixed + np.uint64(1))))
+            k &= ~ALIKE
             bit = np.uint64(1) << (mixed & np.uint64(63))
             high = (mixed & np.uint64(64)) > 0
             s1, s2 = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), begins).view(np.int64) for x in (high, ~high))
@@ -307,8 +311,11 @@ def decoded(tokens: bytes, rare: int) -> np.ndarray:
 
 
 def _classes(batches):
-    """Rows sorted by (k, lone, k2, id, tie, line): the first of a key leads its class, the others are repeats (size 0, no tokens), as are lone rows."""
-    last = None  # (k, k2, id, tie, line) of the lead
+    """Rows sorted by (k, lone, k2, id, tie, line): the first of a key leads its class, the others are repeats (size 0, no tokens), as are lone rows.
+
+    Classes that share k and differ in k2 are numbered in the low bits of k, which from here on is a class's own.
+    """
+    last, number = None, 0  # (k, k2, id, tie, line) of the lead, and its number among those of its k
     for batch in batches:
         missing = batch.column(11).to_numpy(zero_copy_only=False)
         values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
@@ -319,15 +326,28 @@ def _classes(batches):
             new = np.concatenate([[last is None or (k[0], k2[0]) != last[:2]], (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])])
             lead[own[new]] = True
             group = np.cumsum(new) - 1
+            # Places of new classes: how many of the same k came before, in this batch and at the end of the one before.
+            head = np.concatenate([[True], k[1:] != k[:-1]])
+            seen = np.cumsum(new)
+            base_ = np.where(head, seen - new, 0)
+            place = seen - np.maximum.accumulate(base_) - 1
+            if last is not None and k[0] == last[0]:
+                place[: int(np.searchsorted(k, k[0], side="right"))] += number + 1
+            if place.max() > ALIKE:
+                raise ValueError("more than 16 sets share 60 bits of their key")
+            number = int(place[-1])
+            values[0] = values[0].copy()
+            values[0][own] = k | place
             twin[own] = True
             for i in (2, 3, 4):
                 leads = values[i][own[new]]
                 base = np.where(group >= 0, leads[np.maximum(group, 0)] if len(leads) else 0, last[i] if last else 0)
                 twin[own] &= values[i][own] == base
             if new.any():
-                last = tuple(v[own[new][-1]] for v in values[:5])
+                last = (k[new][-1], k2[new][-1], *(v[own[new][-1]] for v in values[2:5]))
         keep = pa.array(missing | lead | ~twin)
         columns = list(batch.columns[:11])
+        columns[0] = pa.array(values[0])
         columns[5] = pa.array(np.where(lead, values[5], 0).astype(np.int32))
         columns[9] = pa.compute.if_else(pa.array(lead), columns[9], pa.scalar(None, pa.binary()))
         yield dict(zip(_SET, (c.filter(keep) for c in columns)))
@@ -355,12 +375,29 @@ def _prefix_rows(batch) -> dict[str, np.ndarray]:
     return dict(zip(_ENTRY, (tokens, k[row], id_[row], (size.astype(np.int64)[row] << 32) | place, s1[row], s2[row])))
 
 
+def _bands() -> np.ndarray:
+    """First sizes of bands: a set is never similar to one beyond the next band."""
+    begins = [1]
+    while begins[-1] < 1 << 31:
+        begins.append(begins[-1] * DOWN // UP + 1)
+    return np.array(begins, np.int64)
+
+
+BANDS = _bands()
+
+
 def _hot_entries(hot: int):
+    """Entries of hot tokens, each in the list of its token and size band and in that of the next band: similar sets meet in one of them."""
+
     def run(batches):
         for batch in batches:
             rows = _prefix_rows(batch)
             own = rows["token"] >= hot
-            yield {n: pa.array(v[own]) for n, v in rows.items()}
+            rows = {n: v[own] for n, v in rows.items()}
+            band = np.searchsorted(BANDS, rows["at"] >> 32, side="right")
+            both = {n: np.concatenate([v, v]) for n, v in rows.items()}
+            both["token"] = _mix(_mix(both["token"].view(np.uint64)) + np.concatenate([band, band + 1]).astype(np.uint64)).view(np.int64)
+            yield {n: pa.array(v) for n, v in both.items()}
 
     return run
 
@@ -515,7 +552,8 @@ def _candidates(parts, long_lists):
 def _rest(batches):
     """Entries of long lists sorted by (token, at) with ``open`` for unmatched classes: all fitting pairs with at least one open class.
 
-    Parts of a list meet every earlier part that the length filter lets in; classes beyond it leave memory.
+    Parts of a list meet every earlier part that the length filter lets in; classes beyond it leave memory. What is held is bounded
+    by the list of one token and two size bands.
     """
     names = (*_ENTRY, "open")
     earlier = None
@@ -572,6 +610,17 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
     spread = map_arrow(rows, _token_rows(ranks), _SET_SCHEMA).withColumn("lone", F.col("k").isNull()).withColumn("k", F.coalesce("k", F.xxhash64("id", "tie", "line")))
     ready = spread.repartition(parts, "k").sortWithinPartitions("k", "lone", "k2", "id", "tie", "line")
     name = f"line_classes_{uuid.uuid4().hex}"
+    try:
+        return _repeated(spark, ready, name, ranks, parts, scratch)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for old in ("word_parts", "classes", "offered", "pairs", "gone", "more"):
+            scratch.drop(old)
+        release_shuffles(spark)
+
+
+def _repeated(spark, ready: DataFrame, name: str, ranks, parts: int, scratch: Scratch) -> DataFrame:
+    """id, tie, lines from the sorted rows of ``_token_rows``."""
     classes = map_arrow(ready.select(*_SET, "lone"), _classes, _SET_SCHEMA)
     classes.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").option("parquet.enable.dictionary", "false").option("path", f"{scratch.root}/classes").bucketBy(parts, "k").format("parquet").saveAsTable(name)
     release_shuffles(spark)
@@ -602,12 +651,7 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
     similar = sets.join(gone.union(more).distinct(), "k", "left_semi").select("id", "tie", "line")
     equal = classes.filter("size = 0").select("id", "tie", "line")
-    lines = scratch.write(similar.union(equal).groupBy("id", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lines")  # a document's own lines
-    spark.sql(f"DROP TABLE {name}")
-    for old in ("classes", "offered", "pairs", "gone", "more"):
-        scratch.drop(old)
-    release_shuffles(spark)
-    return lines
+    return scratch.write(similar.union(equal).groupBy("id", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines")), "lines")  # a document's own lines
 
 
 def dedup_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
