@@ -37,6 +37,8 @@ EACH = 12
 #: Document share of lexicon terms: at least one in 10,000 documents (and two of them), at most one in 20.
 LEAST, MOST = 1e-4, 0.05
 EMPTY = "-"
+#: Documents of a range, and ranges at most: what the driver holds of them (a bound and a first id each) has this bound, whatever the corpus.
+RANGE, MOST_RANGES = 2_000, 32_768
 SUBSETS = len(RATES) * EACH
 _hexed = xxhash.xxh32_hexdigest
 
@@ -118,10 +120,11 @@ def lexicon(documents: DataFrame, least: float = LEAST, most: float = MOST) -> L
 def _by_range(documents: DataFrame, rows_each: int) -> DataFrame:
     """part, follower, id, text: documents by ranges of doc_id; each range's first document comes once more, as follower of the range before.
 
-    Ranges come from quantiles of doc_id; a range's bound and first id (two numbers each) go through the driver.
+    Ranges come from quantiles of doc_id; a range's bound and first id go through the driver, of MOST_RANGES ranges at most.
+    Beyond that ranges grow; they are sorted on disk and read in order, so none needs to fit in memory.
     """
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(1, documents.count() // rows_each)
+    parts = min(MOST_RANGES, max(1, documents.count() // rows_each))
     steps = [i / parts for i in range(1, parts)]
     cuts = np.array(sorted(set(rows.agg(F.percentile_approx("id", steps, 10 * parts)).head()[0] or [])) if steps else [], np.int64)
 
@@ -142,7 +145,7 @@ def _by_range(documents: DataFrame, rows_each: int) -> DataFrame:
     return both.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "follower", "id", "text")
 
 
-def fingerprint_with_edits(documents: DataFrame, least: float = LEAST, most: float = MOST, rows_each: int = 2_000) -> DataFrame:
+def fingerprint_with_edits(documents: DataFrame, least: float = LEAST, most: float = MOST, rows_each: int = RANGE) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text: the last floor(n_chars / 4) code points replaced by as many first ones of the next document.
