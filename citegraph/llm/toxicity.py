@@ -5,22 +5,24 @@ P(grade > j). Grades: 0 clean, 1 toxic, 2 toxic with many marked terms. Labels s
 a toxic document counts as grade 2 in training if it has more marked terms than the median toxic one.
 
 x counts, for each feature, the distinct words of the whole text that have it. A word's features are itself, its prefixes of 4,
-5 and 6 letters and its suffixes of 4 and 5. The model keeps the ``FEATURES`` features most
-unevenly spread over toxic and clean documents, so most words of clean text weigh nothing.
+5 and 6 letters and its suffixes of 4 and 5. The model keeps the features in ``LEAST`` toxic documents or more that are at least
+``ODDS`` times as frequent in toxic ones, so most words of clean text weigh nothing. The sample bounds their number.
 
 Fitted on at most ``SAMPLE`` labelled documents of each class (whole texts), taken by hash of doc_id. All documents are scored.
 
 Defined cases: null and empty texts have no features and the severity of an empty text. Labels that are null are ignored; a doc_id
-labelled twice is toxic if either label says so. Without labels of both classes nothing is toxic (severity 0).
+labelled twice is toxic if either label says so, and a labelled doc_id with several texts is learned from the least of them. Without labels of both classes nothing is toxic (severity 0).
 Repeated rows are scored each. Extra columns are ignored by ``severities`` and kept by ``without_toxic``.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from citegraph.llm.common import Scratch, as_signed, map_arrow
 
 SAMPLE = 2_500
-FEATURES = 4_096
+LEAST, ODDS = 3, 8
 LIMIT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -113,28 +115,26 @@ def _feature_rows(batches):
                 yield {"doc": pa.array(np.full(len(part), doc)), "toxic": pa.array(np.full(len(part), toxic, np.int32)), "feature": pa.array(as_signed(part)), "n": pa.array(n[i : i + 100_000].astype(np.int32))}
 
 
-def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE, most_features: int = FEATURES) -> OrdinalModel:
+def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> OrdinalModel:
     """documents(doc_id, text), labels(doc_id, toxic) -> model."""
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0, 40.0]))
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.filter("toxic = 1").orderBy(*order).limit(sample).union(marks.filter("toxic = 0").orderBy(*order).limit(sample))
     chosen = scratch.write(chosen.select(F.col("doc_id").alias("doc"), "toxic"), "chosen")
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("doc")).select("doc", "toxic", "text")  # 2 * sample rows
-    rows = scratch.write(map_arrow(texts.dropDuplicates(["doc"]), _feature_rows, "doc long, toxic int, feature long, n int"), "features")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("doc")).groupBy("doc", "toxic").agg(F.min(F.col("text").cast("string")).alias("text"))  # 2 * sample rows
+    rows = scratch.write(map_arrow(texts, _feature_rows, "doc long, toxic int, feature long, n int"), "features")
     sizes = {r["toxic"]: r["c"] for r in rows.groupBy("toxic").agg(F.countDistinct("doc").alias("c")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return none
     bad, good = sizes[1], sizes[0]
     counts = rows.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = F.log((F.col("t") + 0.5) * (good + 1.0) / ((F.col("c") + 0.5) * (bad + 1.0)))
-    # A marked feature: in three toxic documents or more and at least eight times as frequent in toxic ones.
-    kept = counts.filter((F.col("t") >= 3) & (odds > float(np.log(8)))).orderBy((odds * F.col("t")).desc(), "feature").limit(most_features)
-    features = np.sort(np.array([r[0] for r in kept.select("feature").collect()], np.int64).view(np.uint64))
+    kept = counts.filter((F.col("t") >= LEAST) & (odds > float(np.log(ODDS))))
+    features = np.sort(np.array([r[0] for r in kept.select("feature").collect()], np.int64).view(np.uint64))  # of 2 * sample texts
     if not len(features):
         return none
-    spread = scratch.spark.createDataFrame([(int(f),) for f in features.view(np.int64)], "feature long")
-    triples = rows.join(F.broadcast(spread), "feature").select("doc", "feature", "n").toPandas()  # 2 * sample rows of marked features
+    triples = rows.join(kept.select("feature"), "feature").select("doc", "feature", "n").toPandas()  # 2 * sample rows of marked features
     marked = dict(rows.select("doc", "toxic").distinct().toPandas().itertuples(index=False, name=None))
     place = {d: i for i, d in enumerate(sorted(marked))}
     at = np.array([place[d] for d in triples["doc"]], np.int64)
@@ -149,25 +149,35 @@ def fit(documents: DataFrame, labels: DataFrame, scratch: Scratch, sample: int =
     return OrdinalModel(features, weights, cuts)
 
 
+class _Scorer:
+    """Sums of word scores; a word's score is remembered, for half a million words at most."""
+
+    def __init__(self, model: OrdinalModel) -> None:
+        self.model, self.known = model, {}
+
+    def severities(self, texts) -> np.ndarray:
+        known, totals = self.known, []
+        for text in texts:
+            total = 0.0
+            for word in sorted(distinct_words(text)):
+                score = known.get(word)
+                if score is None:
+                    if len(known) > 500_000:
+                        known.clear()
+                    score = known[word] = self.model.word_score(word)
+                total += score
+            totals.append(total)
+        return self.model.severity(np.array(totals))
+
+
 def severities(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     """documents(doc_id, text) -> doc_id, severity (0 to 2)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        known: dict[str, float] = {}
+        scorer = _Scorer(shared.value)
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                total = 0.0
-                for word in sorted(distinct_words(text.as_py())):
-                    score = known.get(word)
-                    if score is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        score = known[word] = shared.value.word_score(word)
-                    total += score
-                scores.append(total)
-            yield {"doc_id": batch.column(0), "severity": pa.array(shared.value.severity(np.array(scores)))}
+            yield {"doc_id": batch.column(0), "severity": pa.array(scorer.severities(t.as_py() for t in batch.column(1)))}
 
     return map_arrow(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, severity double")
 
@@ -177,19 +187,9 @@ def without_toxic(documents: DataFrame, labels: DataFrame, scratch: Scratch, lim
     model = fit(documents, labels, scratch)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def severity(texts):
-        import pandas as pd
-
-        known: dict[str, float] = {}
-        total = []
-        for text in texts:
-            score = 0.0
-            for word in sorted(distinct_words(text)):
-                if word not in known:
-                    known[word] = shared.value.word_score(word)
-                score += known[word]
-            total.append(score)
-        return pd.Series(shared.value.severity(np.array(total)))
+    def severity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = _Scorer(shared.value)
+        for texts in batches:
+            yield pd.Series(scorer.severities(texts), dtype=float)
 
-    return documents.filter(severity(F.col("text").cast("string")) < limit)
+    return documents.filter(F.pandas_udf(severity, "double")(F.col("text").cast("string")) < limit)
