@@ -45,9 +45,10 @@ def line_oracle(texts):
     return {i: "\n".join(line for n, line in enumerate((t or "").split("\n")) if (i, n) not in gone) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("long_", [1_000, 2])
-def test_line_dedup_is_brute_force(spark, texts, monkeypatch, long_):
+@pytest.mark.parametrize(("long_", "hot"), [(1_000, 500_000), (2, 500_000), (1_000, 5), (2, 5)])
+def test_line_dedup_is_brute_force(spark, texts, monkeypatch, long_, hot):
     monkeypatch.setattr(line_dedup, "LONG", long_)
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     rng = np.random.default_rng(8)
     swarm = words(rng, 40, 400)
     texts = [*texts[:43], *[swarm.replace(f"w{k} ", "", 1) for k in range(60)], swarm]
@@ -55,6 +56,27 @@ def test_line_dedup_is_brute_force(spark, texts, monkeypatch, long_):
     assert found == line_oracle(texts)
 
 
+def test_similar_sizes_share_a_band_or_lie_in_neighbouring_ones():
+    sizes = np.arange(1, 3_000)
+    band = np.searchsorted(line_dedup.BANDS, sizes, side="right")
+    assert all(band[min(5 * s // 4, 2_999) - 1] - band[s - 1] <= 1 for s in sizes.tolist())
+
+
+def test_sets_that_share_a_key_are_classes_of_their_own():
+    """Rows of (k, k2) in order, cut into batches at every place."""
+    pairs = [(16, 1), (16, 1), (16, 2), (16, 3), (16, 3), (32, 1), (32, 1), (48, 5)]
+    expected = [(16, True), (16, False), (17, True), (18, True), (18, False), (32, True), (32, False), (48, True)]
+    for cut in range(1, len(pairs)):
+        batches = []
+        for low, high in ((0, cut), (cut, len(pairs))):
+            part = range(low, high)
+            values = [[pairs[i][0] for i in part], [pairs[i][1] for i in part], [i for i in part], [0 for _ in part], [0 for _ in part], [3 for _ in part]]
+            rest = [[0 for _ in part], [0 for _ in part], [0 for _ in part], [b"x" for _ in part], [0 for _ in part], [False for _ in part]]
+            batches.append(line_dedup.pa.RecordBatch.from_arrays([line_dedup.pa.array(v) for v in values + rest], names=[*line_dedup._SET, "lone"]))
+        found = [(k, size > 0) for out in line_dedup._classes(batches) for k, size in zip(out["k"].to_pylist(), out["size"].to_pylist())]
+        assert found == expected
+
+
 def test_words_are_told_apart_at_empty_texts():
     texts = ["a b", "", "", "b a\n\na", "", "x" * 5_000, "a", " ", "b"]
     hashes, lines, first = line_dedup.hashed_words(line_dedup.pa.array(texts))
@@ -222,6 +244,68 @@ def test_imatch_edits_and_likeness(spark, texts):
     assert imatch.fingerprint_with_edits(frame(spark, texts).limit(0)).count() == 0
 
 
+def plain_fingerprint(text, lexicon):
+    """The fingerprint in plain Python integers."""
+    m = 2**64 - 1
+    own = sorted(h for w in {w.encode() for w in re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.lower())} if (h := xxhash.xxh64_intdigest(w)) in lexicon)
+    if not own:
+        return None
+    out = []
+    for i, rate in enumerate(r for r in (1, 3, 5, 7) for _ in range(12)):
+        kept = []
+        for h in own:
+            x = h ^ ((i + 1) * 0x9E3779B97F4A7C15 & m)
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+            if (x ^ (x >> 31)) >> (64 - rate) == 0:
+                kept.append(h)
+        out.append(xxhash.xxh32_hexdigest(b"".join(h.to_bytes(8, "little") for h in kept)) if kept else None)
+    return out
+
+
+def plain_likeness(a, b, x, y):
+    if x is None or y is None:
+        return float(x is y and a == b)
+    if x == y:
+        return 1.0
+    shares, every = [], []
+    for rate in range(4):
+        pairs = [(x[i], y[i]) for i in range(12 * rate, 12 * rate + 12) if x[i] or y[i]]
+        every += pairs
+        if len(pairs) >= 4:
+            shares.append(sum(p == q for p, q in pairs) / len(pairs))
+    return max(shares) if shares else sum(p == q for p, q in every) / max(1, len(every))
+
+
+def test_imatch_is_brute_force(spark, texts):
+    """Fingerprints and both likenesses, with repeated rows, a null doc_id and more ranges than the driver may hold."""
+    texts = [*texts, "nothing of the lexicon here", "nothing of the lexicon here", "other lone words"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [set(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())) for _, t in rows]
+    times = pd.Series([w for own in known for w in own]).value_counts()
+    lexicon = {xxhash.xxh64_intdigest(w.encode()) for w, n in times.items() if 3 <= n <= 0.5 * len(rows)}
+    order = sorted((-1 if i is None else i, t or "") for i, t in rows)
+    expected = []
+    for at, (i, t) in enumerate(order):
+        following = order[(at + 1) % len(order)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + following[:cut]
+        prints = [plain_fingerprint(x, lexicon) for x in (t, edited, following)]
+        expected.append((i, plain_likeness(t, edited, *prints[:2]), plain_likeness(t, following, prints[0], prints[2]), *prints[:2]))
+    found = imatch.fingerprint_with_edits(docs, least=3 / len(rows), most=0.5, rows_each=5).collect()
+    shown = lambda p: None if p[0] == "=" else [None if x == "-" else x for x in p.split(".")]
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["near_edited"], r["near_next"], shown(r["fingerprint"]), shown(r["edited_fingerprint"])) for r in found]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert len({r["fingerprint"] for r in found if r["doc_id"] in (3,)}) == 1 and any(p is None for *_, p, _ in got)
+
+
+def test_imatch_ranges_have_a_bound(spark, texts, monkeypatch):
+    plain = {r["doc_id"]: r for r in imatch.fingerprint_with_edits(frame(spark, texts), least=0.001, most=0.9, rows_each=3).collect()}
+    monkeypatch.setattr(imatch, "MOST_RANGES", 2)
+    assert {r["doc_id"]: r for r in imatch.fingerprint_with_edits(frame(spark, texts), least=0.001, most=0.9, rows_each=3).collect()} == plain
+
+
 def test_imatch_lexicon_counts_documents(spark, texts):
     found = set(imatch.lexicon(frame(spark, texts), 0.06, 0.5).terms.tolist())
     hashed, n = TermHash(), len(texts)
@@ -246,6 +330,45 @@ def test_packing_round_trip(spark, texts):
     assert (place.tolist() == [0, *np.cumsum(laid.length)[:-1]]) and (laid.offset + laid.length <= 1024).all()
 
 
+def test_packing_ids_are_those_of_tokenizers():
+    """Random Unicode: any planes, controls, combining marks, blanks of all kinds, digits, quotes and special strings."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    exact, ours = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json")), packing.default_tokenizer()
+    rng = np.random.default_rng(11)
+    ranges = [(0, 0x80), (0x80, 0x250), (0x300, 0x370), (0x370, 0x600), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x9FFF), (0xAC00, 0xAD00), (0xE000, 0xE100), (0xFE00, 0x10000), (0x1F300, 0x1F700), (0xE0000, 0xE0100)]
+    bits = ["<|endoftext|>", "<|endoftext", "'s", "'LL", " \n\n", "\t\t ", "\u00a0", "\r\n", "0123456", "\u200d", "e\u0301"]
+    for _ in range(400):
+        parts = []
+        for _ in range(int(rng.integers(1, 30))):
+            low, high = ranges[rng.integers(len(ranges))]
+            parts.append("".join(map(chr, rng.integers(low, high, int(rng.integers(1, 8))))) if rng.random() < 0.7 else bits[rng.integers(len(bits))])
+        text = "".join(parts)
+        assert ours.encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_packing_meets_given_targets(spark):
+    """Every window holds the targets' shares while all queues last, deficits carried over; then what is left follows without gaps."""
+    rng = np.random.default_rng(2)
+    docs = frame(spark, [words(rng, int(rng.integers(20, 200))) for _ in range(90)], {i: ("big", "mid", None)[i % 3] for i in range(90)})
+    packed = packing.pack(docs, Scratch(spark, "t"), window=512, targets={0: 5, 1: 2, 2: 1}).toPandas()
+    total = packed.groupby("queue").length.sum()
+    packed["at"] = packed.sequence_id * 1024 + packed.offset
+    spots = np.concatenate([np.full(r.length, r.queue) for r in packed.sort_values("at").itertuples()])
+    lasting = int(min(total[q] * 8 / w for q, w in ((0, 5), (1, 2), (2, 1)))) // 512
+    assert lasting > 3 and len(spots) == total.sum()
+    for w in range(1, lasting):
+        counts = np.bincount(spots[: w * 512], minlength=3)
+        assert (abs(counts - w * 512 * np.array([5, 2, 1]) / 8) <= 3).all()
+    with pytest.raises(ValueError):
+        packing.pack(docs, Scratch(spark, "t"), targets={0: 1})
+
+
+def test_packing_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "one two", "a"), (1, "one two", "a"), (None, "three", None), (None, None, "a")], "doc_id long, text string, source string")
+    packed = packing.pack(docs, Scratch(spark, "t")).toPandas()
+    assert sorted(packed.doc_id.fillna(-1)) == [-1, -1, 1, 1] and packed.length.sum() == packed.doc_tokens.sum()
+
+
 def test_packing_windows_hold_the_target_mix(spark):
     rng = np.random.default_rng(2)
     docs = frame(spark, [words(rng, int(rng.integers(20, 200))) for _ in range(90)], {i: "big" if i % 3 else "small" for i in range(90)})
@@ -403,6 +526,35 @@ def test_toxicity_held_out(spark, graded):
     assert toxicity.severities(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_severity_is_the_plain_sum(spark, graded):
+    """Features and expected severity by the book, word by word."""
+    docs, labels, *_ = graded
+    model = toxicity.fit(docs, labels, Scratch(spark, "t"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    for r in toxicity.severities(docs, model).collect()[::7]:
+        text = docs.filter(F.col("doc_id") == r["doc_id"]).head()["text"]
+        score = 0.0
+        for word in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
+            named = ["=" + word] + ["<" + word[:n] for n in (4, 5, 6) if len(word) >= n] + [">" + word[-n:] for n in (4, 5) if len(word) >= n]
+            score += sum(weight.get(xxhash.xxh64_intdigest(x), 0.0) for x in set(named))
+        assert r["severity"] == pytest.approx(sum(1 / (1 + np.exp(t - score)) for t in model.thresholds))
+
+
+def test_toxicity_keeps_every_marked_feature(spark):
+    """Thousands of marked words, all kept; a repeated doc_id with two texts gives the same model whatever the order of rows."""
+    rng = np.random.default_rng(3)
+    bad = [" ".join(f"{''.join(map(chr, rng.integers(97, 123, 9)))}" for _ in range(1_200)) for _ in range(2)]
+    rows = [(i, bad[i % 2] if i < 8 else words(rng, 30), 1) for i in range(40)] + [(0, "aaa another text", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, Scratch(spark, "t"))
+    assert len(model.features) > 10_000
+    again = toxicity.fit(docs.orderBy(F.col("doc_id").desc(), "text").repartition(3), labels, Scratch(spark, "t"))
+    assert np.array_equal(model.features, again.features) and np.allclose(model.weights, again.weights)
+    twice = toxicity.without_toxic(docs.union(docs), labels, Scratch(spark, "t"))
+    assert twice.columns == docs.columns and twice.count() == 2 * 33
+
+
 def test_ordinal_fit_orders_three_grades():
     grades = np.repeat([0, 1, 2], 50)
     rows = np.arange(150)
@@ -421,6 +573,26 @@ def test_attention_mil_held_out(spark, graded):
     assert {r["score"] for r in attention_mil.scores(docs, attention_mil.fit(docs, labels.limit(0), Scratch(spark, "t"))).collect()} == {0.5}
 
 
+def test_attention_score_is_the_plain_forward_pass(spark, graded):
+    """Passages, gates, attention and probability written out one by one; long, empty and repeated rows."""
+    docs, labels, *_ = graded
+    model = attention_mil.fit(docs, labels, Scratch(spark, "t"))
+    w = model.weights
+    rows = [(1, "plain words stand here"), (1, "plain words stand here"), (2, "Loud!! " * 5_000), (3, None), (None, "x" * 200_000), (4, " ")]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    expected = []
+    for i, text in rows:
+        bag = (attention_mil.passage_features((text or "").encode(), TermHash()) - model.mean) / model.scale
+        encoded = [np.tanh(x @ w["W"] + w["b"]) for x in bag]
+        weight = np.exp([(np.tanh(h @ w["V"]) * sigmoid(h @ w["U"])) @ w["u"] for h in encoded])
+        z = sum(a * h for a, h in zip(weight / weight.sum(), encoded))
+        expected.append((-1 if i is None else i, sigmoid(z @ w["c"] + w["d"][0])))
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in attention_mil.scores(more, model).collect())
+    assert [i for i, _ in found] == [i for i, _ in sorted(expected)] and [s for _, s in found] == pytest.approx([s for _, s in sorted(expected)], abs=1e-6)
+    assert attention_mil.scores(docs.limit(0), model).count() == 0
+
+
 def test_attention_trains_on_all_passages(spark, monkeypatch):
     """Bags of long documents arrive whole, in any size of the parts that a step holds."""
     rng = np.random.default_rng(3)
