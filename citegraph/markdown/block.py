@@ -104,7 +104,10 @@ class BlockParser:
                 count -= 1
 
     def _look(self) -> None:
-        """Find the next character that is no blank."""
+        """Find the next character that is no blank; once for each run of blanks, however many containers look."""
+        if self.offset <= self.next:
+            self.indent = self.next_column - self.column
+            return
         line, at, column = self.line, self.offset, self.column
         while at < len(line) and line[at] in " \t":
             column += 4 - column % 4 if line[at] == "\t" else 1
@@ -126,6 +129,7 @@ class BlockParser:
             self.line = texts[number]
             self.start = self.lines.starts[number]
             self.offset = self.column = 0
+            self.next = -1
             self.partial = False
             if number == 0 and source.startswith("﻿"):
                 self.offset = 1  # a byte order mark is no content

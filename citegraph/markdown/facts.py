@@ -303,9 +303,9 @@ def hierarchy(headings: list[dict], doc_id: str) -> None:
         stack.append((candidate, depth))
 
 
-def extract(source: str, most_characters: int = 50_000_000) -> Facts:
+def extract(source: str, most_characters: int | None = None) -> Facts:
     """All facts of a document."""
-    if len(source) > most_characters:
+    if most_characters is not None and len(source) > most_characters:
         raise TooComplex(f"{len(source)} characters")
     document = Document(source)
     facts = Facts()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,21 +27,23 @@ PARSED = (
 SLICE = 256
 
 
-def parse_documents(documents: DataFrame, most_characters: int = 50_000_000) -> DataFrame:
-    """documents(uri, doc_ord, markdown, version) -> parsed.
+def parse_documents(documents: DataFrame, most_characters: int | None = None, kept: Sequence[str] = ()) -> DataFrame:
+    """documents(uri, doc_ord, markdown, version) -> parsed, and the columns ``kept`` as they are.
 
-    A document that breaks the parser, or exceeds the budget, carries the reason in ``unparsable`` and no facts; the
-    others go on. A null text is empty.
+    A document that breaks the parser, or exceeds a budget of characters where a host sets one, carries the reason in
+    ``unparsable`` and no facts; the others go on. A null text is empty.
     """
     schema = T._parse_datatype_string(PARSED)
+    for name in kept:
+        schema = schema.add(documents.schema[name])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 rows = []
-                for uri, ord_, version, markdown in zip(*(c.to_pylist() for c in batch.slice(i, SLICE).columns)):
-                    row = {"uri": uri, "doc_ord": ord_, "version": version, "unparsable": None, "headings": [], "refs": None, "entries": [], "citations": []}
+                for uri, ord_, version, markdown, *others in zip(*(c.to_pylist() for c in batch.slice(i, SLICE).columns)):
+                    row = dict(zip(kept, others)) | {"uri": uri, "doc_ord": ord_, "version": version, "unparsable": None, "headings": [], "refs": None, "entries": [], "citations": []}
                     try:
                         facts = extract(markdown or "", most_characters)
                         row |= {"headings": facts.headings, "refs": facts.references, "entries": facts.entries, "citations": facts.citations}
@@ -51,7 +53,7 @@ def parse_documents(documents: DataFrame, most_characters: int = 50_000_000) ->
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     version = F.col("version") if "version" in documents.columns else F.lit(None)
-    return documents.select("uri", F.col("doc_ord").cast("long"), version.cast("int"), "markdown").mapInArrow(run, schema)
+    return documents.select("uri", F.col("doc_ord").cast("long"), version.cast("int"), "markdown", *kept).mapInArrow(run, schema)
 
 
 def headings(parsed: DataFrame) -> DataFrame:

@@ -104,9 +104,12 @@ class CorpusResult:
         return self.diagnostics.orderBy("doc_ord", F.col("scope") == "corpus", "phase", "ord", "rule_id", "message")
 
 
-def validate_corpus(documents: DataFrame, keep: bool = True) -> CorpusResult:
-    """documents(uri, doc_ord, markdown, version). ``keep`` caches the tables that feed others, the parsed one first of all."""
-    parsed = parse_documents(documents)
+def validate_corpus(documents: DataFrame, keep: bool = True, most_characters: int | None = None) -> CorpusResult:
+    """documents(uri, doc_ord, markdown, version). ``keep`` caches the tables that feed others, the parsed one first of all.
+
+    ``most_characters``: a host's own budget; longer documents are then reported as unparsable. Without it any length is read.
+    """
+    parsed = parse_documents(documents, most_characters)
     return CorpusResult(parsed.persist() if keep else parsed, keep)
 
 

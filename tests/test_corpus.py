@@ -227,3 +227,59 @@ def test_command_line(capsys):
     assert args.ignore == ["a", "b"] and args.timeout == 120 and args.max_memory == 2048
     assert cli.main(["nonsense"]) == 2 and cli.main(["lint", "--timeout", "0"]) == 2 and cli.main(["--version"]) == 0
     capsys.readouterr()
+
+
+def test_stream_tells_folders_apart_and_takes_the_last_version(spark, tmp_path):
+    import os
+
+    from citegraph import streaming
+
+    docs, out = tmp_path / "docs", str(tmp_path / "out")
+    for folder, own, other in (("a", 1, 2), ("b", 2, 1)):
+        (docs / folder).mkdir(parents=True)
+        (docs / folder / "x.md").write_text(f"# {own} - T{own}\n\nAs said, see {other}.\n\n## References\n\n- {other} - T{other} (authority - holds)\n")
+    streaming.parsed_stream(streaming.folder_stream(spark, str(docs)), out, str(tmp_path / "check")).awaitTermination()
+    result = streaming.corpus_of(spark, out)
+    assert sorted(r["uri"] for r in result.parsed.collect()) == ["a/x.md", "b/x.md"] and result.diagnostics.count() == 0
+    assert streaming.refresh(spark, str(docs), out) == 0
+    (docs / "a" / "x.md").write_text("# 1 - New\n\n## References\n\n- 2 - T2 (authority - holds)\n")
+    os.utime(docs / "a" / "x.md", (2_000_000_000, 2_000_000_000))
+    (docs / "c [1].md").write_text("# 3 - Third\n\n## References\n")
+    assert streaming.refresh(spark, str(docs), out) == 2 and streaming.refresh(spark, str(docs), out) == 0
+    again = streaming.corpus_of(spark, out)
+    assert {r["uri"]: r["title"] for r in again.identity.collect()} == {"a/x.md": "New", "b/x.md": "T2", "c [1].md": "Third"}
+    assert again.inline_edges.count() == 1
+    assert [r["rule_id"] for r in again.diagnostics.filter("severity <> 'info'").collect()] == ["corpus/reference-title-mismatch"]
+
+
+def test_relative_paths(spark):
+    from pyspark.sql import functions as F
+
+    from citegraph.streaming import relative
+
+    for whole, folder, expected in (("file:/data/x/a/b.md", "/data/x", "a/b.md"), ("s3a://bucket/x/b.md", "s3a://bucket/x/", "b.md"), ("file:///data/x/b.md", "file:/data/x", "b.md")):
+        assert spark.range(1).select(relative(F.lit(whole), folder).alias("r")).head()["r"] == expected
+
+
+def test_deep_lists_cost_what_their_size_costs():
+    import time
+
+    from citegraph.markdown.facts import extract
+
+    def seconds(levels):
+        began = time.process_time()
+        extract("".join("  " * i + "- x\n" for i in range(levels)))
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(800) < 40 * max(seconds(200), 0.02)  # 16 times the text
+    assert time.process_time() and extract("- " * 4_000 + "x\n").headings == []
+
+
+def test_documents_of_any_length_are_read_unless_a_host_sets_a_budget(spark):
+    from citegraph.plans.validate import validate_corpus
+    from citegraph.sources.folder import in_memory
+
+    rows = in_memory(spark, [("a.md", "# 1 - One\n\n" + "words " * 200 + "\n\n## References\n")])
+    assert validate_corpus(rows, keep=False).identity.count() == 1
+    assert validate_corpus(rows, keep=False, most_characters=100).diagnostics.head()["rule_id"] == "document/unparsable"
