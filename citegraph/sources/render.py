@@ -122,3 +122,68 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, path: page urls without scheme, query and fragment, as file paths."""
     rest = F.regexp_replace("url", "^[^:]*://", "")
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(rest, "[?#][\\s\\S]*\\z", "").alias("path"))
+
+
+def _case(body: str = "", entries: str = "- 6.1 - Base (authority - holds)\n", title: str = "# 6.{k} - {t}\n", references: str = "## References\n\n") -> str:
+    return f"{title}\n{body}{references}{entries}"
+
+
+#: name -> (a document's Markdown for key {k} and title {t}, the findings that its rules make: rule, severity, cause, reason, obstruction).
+CASES: dict[str, tuple[str, list[tuple[str, str, str, str, str]]]] = {
+    "clean": (_case("## 6.{k}#1 - Part\n\n### 6.{k}#1.1 - Below\n\nAs said, see 6.1.\n\n"), []),
+    "no heading": ("Only words stand here.\n", [("R101", "error", "", "", "")]),
+    "two titles": (_case("# 6.{k} - Again\n\n"), [("R101", "error", "", "", "")]),
+    "unnumbered title": (_case(title="# Words alone\n"), [("R101", "error", "", "", "")]),
+    "title without dash": (_case(title="# 6.{k} {t}\n"), [("R101", "error", "", "", "")]),
+    "title of another form": (_case(title="# 6..{k} - {t}\n"), [("R101", "error", "", "", "")]),
+    "byte order mark": (_case(title="\ufeff# 6.{k} - {t}\n"), [("R101", "error", "heading-source-form", "", "byte-order-mark")]),
+    "underlined title": (_case(title="6.{k} - {t}\n===\n"), [("R101", "error", "heading-source-form", "", "form")]),
+    "title behind a lone return": (_case(title="Words.\r# 6.{k} - {t}\n"), [("R101", "error", "heading-source-form", "", "lone-carriage-return")]),
+    "section without dash": (_case("## 6.{k}#1 Part\n\n"), [("R102", "error", "", "separator", "")]),
+    "unnumbered section": (_case("## Part\n\n"), [("R102", "error", "", "unnumbered", "")]),
+    "section with a document's number": (_case("## 6.{k} - Part\n\n"), [("R102", "error", "", "section-id", "")]),
+    "underlined section": (_case("6.{k}#1 - Part\n---\n\n"), [("R102", "error", "heading-source-form", "", "form")]),
+    "foreign section": (_case("## 7.{k}#1 - Part\n\n"), [("R102", "error", "", "foreign", "")]),
+    "path too long": (_case("## 6.{k}#1.1 - Part\n\n"), [("R102", "error", "", "path-length", "")]),
+    "section twice": (_case("## 6.{k}#1 - Part\n\n## 6.{k}#1 - Part\n\n"), [("R102", "error", "", "duplicate", "")]),
+    "skipped level": (_case("#### 6.{k}#1.1.1 - Deep\n\n"), [("R102", "error", "", "skipped-level", "")]),
+    "misplaced section": (_case("## 6.{k}#1 - Part\n\n### 6.{k}#2.1 - Below\n\n"), [("R102", "error", "", "misplaced", "")]),
+    "below a foreign section": (_case("## 7.{k}#1 - Part\n\n### 6.{k}#1.1 - Below\n\n"), [("R102", "error", "", "foreign", "")]),
+    "no References": (_case(references="", entries=""), [("R103", "error", "", "", "")]),
+    "References twice": (_case("## References\n\n- 6.1 - Base (authority - holds)\n\n", entries=""), [("R103", "error", "", "", "")]),
+    "References within a quote": (_case(references="> ## References\n>\n", entries="> - 6.1 - Base (authority - holds)\n"), [("R103", "error", "references-placement", "", "")]),
+    "no entries": (_case(entries=""), [("R103", "info", "references-empty", "", "")]),
+    "References with closing signs": (_case(references="## References ##\n\n"), [("R103", "error", "references-heading-source-form", "", "form")]),
+    "References behind a lone return": (_case(references="Words.\r## References\n\n"), [("R103", "error", "references-heading-source-form", "", "lone-carriage-return")]),
+    "entry without dash": (_case(entries="- 6.1 Base (authority - holds)\n"), [("R103", "error", "", "separator", "")]),
+    "entry unbalanced": (_case(entries="- 6.1 - Base authority - holds)\n"), [("R103", "error", "references-entry-unbalanced", "unbalanced", "")]),
+    "entry without label": (_case(entries="- 6.1 - Base\n"), [("R103", "error", "", "format", "")]),
+    "entry of a section": (_case(entries="- 6.1#2 - Base (authority - holds)\n"), [("R103", "error", "", "target", "")]),
+    "entry of no direction": (_case(entries="- 6.1 - Base (Authority - holds)\n"), [("R103", "error", "", "direction", "")]),
+    "entry twice": (_case(entries="- 6.1 - Base (authority - holds)\n- 6.1 - Base (contract - too)\n"), [("R103", "error", "", "duplicate", "")]),
+    "bad entry, then a good one": (_case(entries="- 6.1 - Base (owner - holds)\n- 6.1 - Base (contract - too)\n"), [("R103", "error", "", "direction", "")]),
+    "entry with a bold number": (_case(entries="- **6.1** - Base (authority - holds)\n"), [("R103", "error", "references-entry-source-form", "", "form")]),
+    "entry with a bold label": (_case(entries="- 6.1 - Base (**authority** - holds)\n"), [("R103", "error", "references-entry-source-form", "", "form")]),
+    "malformed citation": (_case("It follows see 6.1#1#9 in part.\n\n"), [("R104", "error", "malformed-target", "", "")]),
+    "words like a citation": (_case("It waits, per 6..1 of them, for 2 per 60s.\n\n"), []),
+    "citation with a bold number": (_case("It follows see **6.1** in part.\n\n"), [("R104", "error", "citation-source-form", "undeclared-target", "")]),
+    "citation over two lines": (_case("It follows see\n6.1 in part.\n\n"), [("R104", "error", "citation-source-form", "undeclared-target", "")]),
+    "citation with two blanks": (_case("It follows see  6.1 in part.\n\n"), [("R104", "error", "citation-source-form", "undeclared-target", "")]),
+    "undeclared citation with two blanks": (_case("It follows see  7.{k} in part.\n\n"), [("R104", "warning", "citation-source-form", "undeclared-target", "")]),
+    "citation with an escaped dot": (_case("It follows see 6\\.1 in part.\n\n"), [("R104", "error", "citation-source-form", "undeclared-target", "")]),
+    "undeclared document": (_case("It follows see 7.{k} in part.\n\n"), [("R104", "warning", "", "undeclared-target", "")]),
+    "undeclared section": (_case("It follows see 7.{k}#1 in part.\n\n"), [("R104", "error", "", "undeclared-target", "")]),
+    "section of a declared document": (_case("It follows see 6.1#2 in part, per 6.1#2.1.\n\n"), []),
+    "own section": (_case("## 6.{k}#1 - Part\n\nSee 6.{k}#1 and per 6.{k}.\n\n"), []),
+}
+#: name -> the targets of its citations that become edges.
+CASE_EDGES = {"clean": ["6.1"], "section of a declared document": ["6.1#2", "6.1#2.1"], "own section": ["6.{k}#1", "6.{k}"]}
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents(uri, doc_ord, markdown, version): a document for each part, of the cases in turn."""
+    key = F.col("p_partkey").cast("string")
+    templates = F.array(*[F.lit(text) for text, _ in CASES.values()])
+    text = F.element_at(templates, (F.col("p_partkey") % len(CASES) + 1).cast("int"))
+    text = F.replace(F.replace(text, F.lit("{k}"), key), F.lit("{t}"), F.coalesce("p_name", F.lit("")))
+    return table(spark, sf_dir, "part").select(*_document(F.concat(F.lit("part/"), key, F.lit(".md")), F.col("p_partkey"), text))

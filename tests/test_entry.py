@@ -8,14 +8,14 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-NAMES = ["op_lex_identifiers", "op_lex_headings", "op_lex_entries", "op_src_meta_documents", "op_r101_identities", "op_r103_reference_edges", "op_r10x_document_diagnostics", "op_jn_corpus_diagnostics", "op_nav_recipes"]
+NAMES = ["op_lex_identifiers", "op_lex_headings", "op_lex_entries", "op_src_meta_documents", "op_r101_identities", "op_r103_reference_edges", "op_r10x_document_diagnostics", "op_jn_corpus_diagnostics", "op_nav_recipes", "op_r101_cases", "op_r102_cases", "op_r103_cases", "op_r104_cases", "op_r104_case_edges", "op_agg_case_statistics", "op_nav_case_recipes", "op_lex_markdown_lines", "op_nav_3_references_block", "op_nav_13_find_text", "op_nav_15_guarantee", "op_nav_16_closure", "op_snk_7_strip_identity"]
 
 
 @pytest.fixture(scope="module")
 def duck():
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for name in ("region", "nation", "customer", "supplier", "orders", "lineitem", "documents", "pages", "labels"):
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 

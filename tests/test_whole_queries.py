@@ -38,7 +38,7 @@ def test_closure_of_the_ledger(spark, tables):
             hops += 1
             now = {b for x in now for b in out.get(x, ()) if (a, b) not in expected}
             expected |= {(a, b): hops for b in now}
-    rows = queries.QUERIES["op_nav_16_closure_ledger"](spark, SF).collect()
+    rows = queries.QUERIES["op_nav_16_closure"](spark, SF).collect()
     assert len(rows) == len(expected) and {(r["a"], r["b"]): r["hops"] for r in rows} == expected
 
 
@@ -52,7 +52,7 @@ def test_markdown_lines_of_the_documents(spark, tables):
             at += len(piece)
         if not pieces or pieces[-1].endswith("\n"):
             expected.add((r["doc_id"], len(pieces), at, "", True))
-    rows = [tuple(r) for r in queries.QUERIES["op_lex_markdown_lines_documents"](spark, SF).collect()]
+    rows = [tuple(r) for r in queries.QUERIES["op_lex_markdown_lines"](spark, SF).collect()]
     assert len(rows) == len(expected) and set(rows) == expected
 
 
@@ -67,12 +67,12 @@ def test_references_blocks_of_the_ledger(spark, ledger):
     for uri, lines in ledger.items():
         heads = [n for n, line in lines if line.startswith("## References")]
         expected += [(uri, n) for n, _ in lines if any(h <= n <= h + 40 for h in heads)]
-    found = [tuple(r) for r in queries.QUERIES["op_nav_3_references_block_ledger"](spark, SF).collect()]
+    found = [tuple(r) for r in queries.QUERIES["op_nav_3_references_block"](spark, SF).collect()]
     assert sorted(found) == sorted(expected) and any(n > 45 for n, _ in max(ledger.values(), key=len)) and any(u.startswith("customer/") for u, _ in found)
 
 
 def test_find_text_in_the_ledger(spark, ledger):
-    found = [r["uri"] for r in queries.QUERIES["op_nav_13_find_text_ledger"](spark, SF).collect()]
+    found = [r["uri"] for r in queries.QUERIES["op_nav_13_find_text"](spark, SF).collect()]
     expected = {uri for uri, lines in ledger.items() if any("0000001" in line for _, line in lines)}
     assert len(found) == len(expected) and set(found) == expected
     assert any("0000001" not in ledger[uri][0][1] for uri in found)
@@ -88,5 +88,5 @@ def test_strip_identity_of_the_ledger(spark, ledger):
                 line = re.sub(r"^(#{1,6} )[1-4]\.[0-9]+(?:#[0-9.]+)? *[-–—] *", r"\1", line)
             if not skipped:
                 expected.append((uri, n, line))
-    found = [tuple(r) for r in queries.QUERIES["op_snk_7_strip_identity_ledger"](spark, SF).collect()]
+    found = [tuple(r) for r in queries.QUERIES["op_snk_7_strip_identity"](spark, SF).collect()]
     assert sorted(found) == sorted(expected) and {u.split("/")[0] for u, _, _ in found} == {"customer", "supplier", "nation", "region"}
