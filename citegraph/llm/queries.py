@@ -71,7 +71,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ref"), (1 - F.col("quality")).alias("bad"))
-    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
+    judged = url_reputation.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES, scratch=Scratch(spark, "urls"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -46,22 +46,27 @@ FROM done JOIN schedules p ON p.turn = place % 3 AND p.half = 0 JOIN schedules q
 URL_REPUTATION = r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
-plain AS (SELECT page_id, split_part(split_part(r, '?', 1), '#', 1) AS p FROM rest),
+whole AS (SELECT page_id, split_part(split_part(r, '?', 1), '#', 1) AS p FROM rest),
 cut AS (
   SELECT page_id, translate(split_part(p, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          CASE WHEN strpos(p, '/') > 0 THEN substr(p, strpos(p, '/')) ELSE '' END AS path
-  FROM plain),
+  FROM whole),
 marks AS (
   SELECT doc_id AS ref, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 numbered AS (
   SELECT host, TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})([.]html)?/?$', 1), '') AS BIGINT) AS ref FROM cut),
 counted AS (
   SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS x FROM numbered LEFT JOIN marks USING (ref) GROUP BY host),
+plain AS (SELECT *, split_part(host, '@', -1) AS bare FROM counted),
 named AS (
-  SELECT *, split_part(split_part(host, '@', -1), ':', 1) AS name FROM counted),
+  SELECT *, CASE WHEN starts_with(bare, '[') THEN split_part(bare, ']', 1) || ']' ELSE split_part(bare, ':', 1) END AS name FROM plain),
+labelled AS (
+  SELECT *, string_split(name, '.') AS labels, starts_with(bare, '[') OR regexp_full_match(name, '[0-9]+([.][0-9]+){3}') AS number,
+         array_to_string(string_split(name, '.')[-2:], '.') IN ('ac.jp', 'ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx',
+           'com.tr', 'com.tw', 'go.jp', 'gov.au', 'gov.uk', 'ne.jp', 'net.au', 'or.jp', 'org.au', 'org.uk') AS double FROM named),
 hosts AS (
-  SELECT host, n, x, CASE WHEN len(string_split(name, '.')) > 1 THEN split_part(name, '.', -2) || '.' || split_part(name, '.', -1) ELSE name END AS domain,
-         split_part(name, '.', -1) AS suffix FROM named),
+  SELECT host, n, x, CASE WHEN number THEN name WHEN double THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain,
+         CASE WHEN number THEN name WHEN double THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix FROM labelled),
 domains AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS dn, CAST(sum(x) AS BIGINT) AS dx FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, CAST(sum(dn) AS BIGINT) AS sn, CAST(sum(dx) AS BIGINT) AS sx FROM domains GROUP BY suffix),
 total AS (

@@ -4,6 +4,10 @@ Native: DataFrame functions alone. The outcome of a labelled page (bad or not) i
 beta-binomial priors: the suffix towards all pages, the registered domain towards its suffix, the host
 towards its domain. A host is blocked when the lower bound of its posterior bad rate exceeds a limit.
 
+The registered domain is the label before the public suffix, with it. Suffixes are the last label, or two labels where a table
+given as a parameter has them (``SUFFIXES`` holds common ones; a host may bring the published list). An IP literal is a domain
+and a suffix of its own. A port or user is part of the host, not of its domain.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path; it is judged like any
 host, by the labelled pages with an empty host. No labelled pages at all: everything is allowed.
 Repeated pages count as often as they occur. Null labels are no outcomes. Extra columns are ignored.
@@ -17,9 +21,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegraph.llm.common import Scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Common public suffixes of two labels.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "go.jp", "gov.au", "gov.uk",
+    "ne.jp", "net.au", "or.jp", "org.au", "org.uk",
+)
+
+
 @dataclass(frozen=True)
 class Rule:
     host: str
@@ -48,10 +61,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain: the last two labels of the host without port and user; suffix: the last one."""
-    name = F.substring_index(F.substring_index(host, "@", -1), ":", 1)
-    return F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+def domain_and_suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host, whose user and port don't count. ``suffixes``: those of two labels."""
+    plain = F.substring_index(host, "@", -1)
+    literal = F.startswith(plain, F.lit("["))  # of IP version 6
+    name = F.when(literal, F.concat(F.substring_index(plain, "]", 1), F.lit("]"))).otherwise(F.substring_index(plain, ":", 1))
+    number = literal | F.rlike(name, F.lit("^[0-9]+(?:[.][0-9]+){3}$"))
+    two = F.substring_index(name, ".", -2)
+    double = two.isin(*suffixes) if suffixes else F.lit(False)
+    domain = F.when(number, name).when(double, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(number, name).when(double, two).otherwise(F.substring_index(name, ".", -1))
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -78,15 +97,22 @@ def _rho(x: str, n: str, keys: DataFrame, total: DataFrame, name: str, how: Repu
     return sums.select((1 / rho - 1).alias(name))
 
 
-def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFrame:
+def _salted(rows: DataFrame, few: DataFrame, on: list[str], by: str, salts: int) -> DataFrame:
+    """An inner join in which every row of ``few`` goes out ``salts`` times, so that no key of ``rows`` is one task's."""
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return spread.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "salt"]).drop("salt")
+
+
+def host_reputation(hosts: DataFrame, how: Reputation = Reputation(), suffixes: Sequence[str] = SUFFIXES, scratch: Scratch | None = None, salts: int = 16) -> DataFrame:
     """hosts(host, n, x): labelled and bad pages of every host, once each -> host, mean, lower, blocked.
 
-    The tables of domains and suffixes are joined by shuffles on their keys; they are counted from
-    hosts, not from pages, so a host with a third of the pages is one row here.
+    Domains and suffixes are counted from hosts, not from pages, so a host with a third of the pages is one row here. Joins up the
+    levels are salted, as one suffix may hold most domains. With ``scratch`` each level is written once, not made anew for each sum.
     """
-    domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = hosts.select("host", "n", "x", domain.alias("domain"), suffix.alias("suffix"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("x").alias("dx"))
+    kept = scratch.write if scratch else lambda rows, name: rows
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+    hosts = kept(hosts.select("host", "n", "x", domain.alias("domain"), suffix.alias("suffix")), "hosts")
+    domains = kept(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("x").alias("dx")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dx").alias("sx"))
     total = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("n_all"), F.coalesce(F.sum("sx"), F.lit(0)).alias("x_all"))
     total = total.withColumn("p", F.when(F.col("n_all") > 0, F.col("x_all").cast("double") / F.col("n_all").cast("double")).otherwise(0.0))
@@ -102,7 +128,7 @@ def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFra
     mean = a / (a + b)
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return (
-        hosts.join(domains.join(suffixes, "suffix"), ["domain", "suffix"])
+        _salted(hosts, _salted(domains, suffixes, ["suffix"], "domain", salts), ["domain", "suffix"], "host", salts)
         .crossJoin(F.broadcast(priors))
         .withColumn("m_suffix", m_suffix)
         .withColumn("m_domain", m_domain)
@@ -113,7 +139,7 @@ def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFra
     )
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], how: Reputation = Reputation(), salts: int = 16) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], how: Reputation = Reputation(), salts: int = 16, suffixes: Sequence[str] = SUFFIXES, scratch: Scratch | None = None) -> DataFrame:
     """pages(page_id, url), outcomes(ref, bad 0/1 or null) -> page_id, host, path, rule, verdict, bad_rate, bad_rate_lower.
 
     A page's outcome is found by the number that ends its path. Pages are counted by (host, number)
@@ -132,7 +158,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], how
         .agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("bad")).alias("x"))
     )
     hosts = by_ref.select("host").distinct().join(counted, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("x", F.lit(0)).alias("x"))
-    known = host_reputation(hosts, how).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    known = host_reputation(hosts, how, suffixes, scratch, salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return (
         seen.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))

@@ -497,6 +497,30 @@ def test_url_reputation_rules_and_hosts(spark):
     assert {r["verdict"] for r in url_reputation.judge_urls(pages.filter("page_id > 99"), outcomes.limit(0), rules).collect()} == {"allow"}
 
 
+def test_url_domains_and_suffixes(spark):
+    hosts = {
+        "a.b.example.com": ("example.com", "com"), "news.bbc.co.uk:80": ("bbc.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"), "[2001:db8::1]:80": ("[2001:db8::1]", "[2001:db8::1]"),
+        "me@x.org": ("x.org", "org"), "localhost": ("localhost", "localhost"), "": ("", ""), "1.2.3.4.5": ("4.5", "5"),
+    }
+    domain, suffix = url_reputation.domain_and_suffix(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in rows} == hosts
+    bare, last = url_reputation.domain_and_suffix(F.lit("news.bbc.co.uk"), ())
+    assert tuple(spark.range(1).select(bare, last).head()) == ("co.uk", "uk")
+
+
+def test_url_reputation_repeats_nulls_and_clashes(spark):
+    """Repeated pages are judged each and count each; a null page_id and columns named as ours do no harm; written levels change nothing."""
+    rows = [(i % 40, f"http://h{i % 40 % 3}.bad.co.uk/{i % 40}", "x", 1, "y") for i in range(80)] + [(None, "http://10.0.0.1/3", "x", 1, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, salt int, n string")
+    outcomes = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "ref long, bad int")
+    plain = sorted(map(tuple, url_reputation.judge_urls(pages, outcomes, ()).collect()), key=repr)
+    written = sorted(map(tuple, url_reputation.judge_urls(pages, outcomes, (), scratch=Scratch(spark, "t")).collect()), key=repr)
+    assert plain == written and len(plain) == 81 and {r[1] for r in plain} == {"h0.bad.co.uk", "h1.bad.co.uk", "h2.bad.co.uk", "10.0.0.1"}
+    rate = {r[1]: r[5] for r in plain}
+    assert rate["h0.bad.co.uk"] > rate["h1.bad.co.uk"]
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     rng = np.random.default_rng(9)
