@@ -9,7 +9,7 @@ size and the excess is shared again by weight (water filling, solved in closed f
 
 Defined cases: a null text has size 0; the null source is a source of its own, last. Repeated rows are
 separate documents (ties in the order are broken by size); a null doc_id is ordered by its text's MD5. Documents of size 0 are
-taken 0 times and have no position, as those that the demand doesn't reach. An empty table gives an empty result. Extra columns
+taken 0 times and stand at the position of their place in the order; those that the demand doesn't reach have none. An empty table gives an empty result. Extra columns
 are kept by ``mixed`` and ignored by ``plan``.
 
 Prefix sums go by bucket first (4096 hash ranges a source), so a source with a third of all rows is
@@ -115,7 +115,8 @@ def plan(documents: DataFrame, scratch: Scratch, weights: Sequence[int] = WEIGHT
     # The copies whose begin, c * z + start, lies before the demand: the positions below 1.
     copies = F.when((size > 0) & (demand > start), F.expr("(cast(floor(target) as bigint) - start - 1) div z") + 1).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("copies", copies).withColumn("last", (F.col("copies") - 1) * z + start)
-    at = lambda done: F.when(F.col("copies") > 0, position(done, F.col("target"), F.col("place")))
+    at = lambda done: position(done, F.col("target"), F.col("place"))
+    stands = (F.col("copies") > 0) | (size == 0) & (F.col("target") > 0)
     return placed.select(
         "doc_id",
         "size",
@@ -126,8 +127,8 @@ def plan(documents: DataFrame, scratch: Scratch, weights: Sequence[int] = WEIGHT
         "start",
         "copies",
         F.when(F.col("copies") > 0, (F.col("copies") - 1) * size + F.least(size, demand - F.col("last"))).otherwise(F.lit(0)).cast("long").alias("taken"),
-        at(start).alias("position"),
-        at(F.col("last")).alias("last_position"),
+        F.when(stands, at(F.least(start.cast("double"), F.col("target")))).alias("position"),
+        F.when(F.col("copies") > 0, at(F.col("last"))).alias("last_position"),
     )
 
 

@@ -29,14 +29,14 @@ copied AS (
          CAST(CASE WHEN size > 0 AND floor(target) > begun THEN (CAST(floor(target) AS BIGINT) - begun - 1) // z + 1 ELSE 0 END AS BIGINT) AS copies
   FROM starts JOIN targets ON starts.source IS NOT DISTINCT FROM targets.source),
 done AS (
-  SELECT *, (copies - 1) * z + begun AS last, CAST(begun AS DOUBLE) / target AS y, CAST((copies - 1) * z + begun AS DOUBLE) / target AS y2 FROM copied),
+  SELECT *, (copies - 1) * z + begun AS last, least(CAST(begun AS DOUBLE), target) / target AS y, CAST((copies - 1) * z + begun AS DOUBLE) / target AS y2 FROM copied),
 -- a source's weight over training runs 1.5, 1, 0.5 or 0.75, 1.25, 0.75 or 0.5, 1, 1.5 in turn, straight between these at 0, 1/2 and 1;
 -- the share of its demand that is met at position u is the integral up to u, which is inverted here on each half
 schedules(turn, half, a, slope, before) AS (
   VALUES (0, 0, 1.5e0, -1e0, 0e0), (0, 1, 1e0, -1e0, 0.625e0), (1, 0, 0.75e0, 1e0, 0e0), (1, 1, 1.25e0, -1e0, 0.5e0), (2, 0, 0.5e0, 1e0, 0e0), (2, 1, 1e0, 1e0, 0.375e0))
 SELECT doc_id, size, z AS source_size, target,
        CAST(CASE WHEN copies > 0 THEN (copies - 1) * size + least(size, demand - last) ELSE 0 END AS BIGINT) AS taken, copies,
-       CASE WHEN copies > 0 THEN CASE WHEN y <= q.before THEN 0e0 + (sqrt(greatest(p.a * p.a + 2 * p.slope * (y - p.before), 0e0)) - p.a) / p.slope
+       CASE WHEN copies > 0 OR size = 0 AND target > 0 THEN CASE WHEN y <= q.before THEN 0e0 + (sqrt(greatest(p.a * p.a + 2 * p.slope * (y - p.before), 0e0)) - p.a) / p.slope
          ELSE 0.5e0 + (sqrt(greatest(q.a * q.a + 2 * q.slope * (y - q.before), 0e0)) - q.a) / q.slope END END AS position,
        CASE WHEN copies > 0 THEN CASE WHEN y2 <= q.before THEN 0e0 + (sqrt(greatest(p.a * p.a + 2 * p.slope * (y2 - p.before), 0e0)) - p.a) / p.slope
          ELSE 0.5e0 + (sqrt(greatest(q.a * q.a + 2 * q.slope * (y2 - q.before), 0e0)) - q.a) / q.slope END END AS last_position

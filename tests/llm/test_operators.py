@@ -445,7 +445,9 @@ def test_curriculum_reads_sources_round_and_round(spark, texts):
                 at = [float(np.interp(b / r.target, met, grid)) for b in (begun[i][0], begun[i][-1])]
                 assert [r.position, r.last_position] == pytest.approx(at, abs=1e-3)
             else:
-                assert pd.isna(r.position) and pd.isna(r.last_position)
+                assert pd.isna(r.last_position) and pd.isna(r.position) == (r.size > 0)
+            if r.size == 0:
+                assert r.position == pytest.approx(float(np.interp(min(r.start / r.target, 1), met, grid)), abs=1e-3)
 
 
 def test_curriculum_position_inverts_the_integral(spark):
