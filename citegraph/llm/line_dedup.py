@@ -3,14 +3,14 @@
 A line's tokens are its distinct words. A line is removed if an earlier line (smaller doc_id, or earlier in the same
 document) has a Jaccard similarity of at least 0.8 with it; lines are judged on the input, not on what is left.
 
-Tokens are ordered by rarity: those in fewer than one line in 10,000 first (by hash), then the others by their
+Tokens are ordered by rarity: those in fewer than one line in 50,000 first (by hash), then the others by their
 number of lines. Equal sets are one class, kept at its first line. Classes meet in the inverted lists of their prefixes (the
 rarest size - ceil(0.8 size) + 1 tokens); length and positional filters drop most pairs, and what is left is verified on
-whole token sets by integer arithmetic. The frequency table is bounded by (mean tokens of a line) * 10,000 entries.
+whole token sets by integer arithmetic. The frequency table is bounded by (mean tokens of a line) * 50,000 entries.
 
-Long lists never give all their pairs: a list of more than ``LONG`` classes first offers each class just one earlier,
-fitting one. Only classes that this leaves unmatched are then held against the rest of their lists, so a swarm
-of near copies costs one pair each. Lists of words with ``HOT`` occurrences or more are cut by size bands. Each slice of 8 MB
+No list gives all its pairs: for each class it gives the ``CLOSE`` fitting pairs with earlier ones whose signatures are nearest. Only
+classes that these leave unmatched are then held against the rest, in lists of the entries that have more pairs, so a swarm
+of near copies costs a few pairs each. Lists of more than ``LONG`` classes give just one pair for each class at first. Lists of words with ``HOT`` occurrences or more are cut by size bands. Each slice of 8 MB
 of text settles its own equal lines before the shuffle. Sets are equal if they agree in a key of 124 bits; words are told apart by 63.
 
 Defined cases: null and empty texts and blank lines are kept as they are. Rows that repeat doc_id and text lose the same lines;
@@ -33,8 +33,10 @@ from citegraph.llm.common import NULL_ID, Scratch, as_signed, map_arrow, release
 
 #: Jaccard similarity as a fraction.
 UP, DOWN = 4, 5
-LEAST = 1e-4
-LONG = 1_000
+LEAST = 2e-5
+LONG = 20_000
+#: Fitting pairs that a list gives at once for the later class of each; a class with more is held against the rest if these don't match.
+CLOSE = 2
 #: Occurrences from which a word's list takes the way that never holds a whole list in memory; entries of a bucket of the other way.
 HOT, BUCKET = 500_000, 400_000
 #: Low bits of a class's key that tell apart classes whose other 60 bits are equal.
@@ -207,7 +209,7 @@ class Ranks:
     A direct-mapped table; of frequent words that meet in a slot one counts as rare, which is an order as good as any.
     """
 
-    SLOTS = 1 << 20
+    SLOTS = 1 << 22
 
     def __init__(self, terms: np.ndarray, counts: np.ndarray) -> None:
         order = np.lexsort((terms, counts))
@@ -261,6 +263,8 @@ _SET_SCHEMA = "k long, k2 long, id long, tie long, line int, size int, s1 long,
 def _token_rows(ranks):
     """Per line: its set's 128-bit key (k, k2), size, 128-bit signature, and its codes in order of rarity as bytes.
 
+    A bit of the signature is the parity of the codes that fall on it: two signatures differ in at most as many bits as the sets do in codes,
+    and common codes hide none of it, however large the sets.
     The bytes hold the ``rare`` negative codes in 8 bytes each, then the ranks in 4. A line that repeats one of the same slice has no key.
     """
 
@@ -281,7 +285,7 @@ def _token_rows(ranks):
             k &= ~ALIKE
             bit = np.uint64(1) << (mixed & np.uint64(63))
             high = (mixed & np.uint64(64)) > 0
-            s1, s2 = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), begins).view(np.int64) for x in (high, ~high))
+            s1, s2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), begins).view(np.int64) for x in (high, ~high))
             rare = np.add.reduceat((flat < 0).astype(np.int64), begins)
             order = np.lexsort((numbers, ties[rows], ids[rows], k2, k))
             new = np.concatenate([[True], (k[order][1:] != k[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
@@ -431,16 +435,37 @@ def _fits(rows, i, j) -> np.ndarray:
     small, large = rows["size"][i], rows["size"][j]
     need = -(-UP * (small + large) // (UP + DOWN))
     fit = (DOWN * small >= UP * large) & (np.minimum(small - rows["place"][i], large - rows["place"][j]) >= need)
-    apart = sum(np.bitwise_count((rows[s][i] ^ rows[s][j]).view(np.uint64)).astype(np.int64) for s in ("s1", "s2"))
-    return fit & (small + large - apart >= 2 * need) & (rows["k"][i] != rows["k"][j])
+    left = np.flatnonzero(fit)
+    i, j, slack = i[left], j[left], (small + large - 2 * need)[left]
+    fit[left] = (_apart(rows, i, j) <= slack) & (rows["k"][i] != rows["k"][j])
+    return fit
 
 
-def _oriented(rows, i, j) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs' keys, the class of the earlier document first; both ways if one document has both."""
-    id_, k = rows["id"], rows["k"]
+def _apart(rows, i, j) -> np.ndarray:
+    """Bits in which the signatures differ."""
+    return sum(np.bitwise_count((rows[s][i] ^ rows[s][j]).view(np.uint64)).astype(np.int64) for s in ("s1", "s2"))
+
+
+def _by_document(rows, i, j) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' entries, that of the earlier document first; both ways if one document has both."""
+    id_ = rows["id"]
     swap, same = id_[i] > id_[j], id_[i] == id_[j]
-    first, second = np.where(swap, k[j], k[i]), np.where(swap, k[i], k[j])
-    return np.concatenate([first, second[same]]), np.concatenate([second, first[same]])
+    return np.concatenate([np.where(swap, j, i), j[same]]), np.concatenate([np.where(swap, i, j), i[same]])
+
+
+def _oriented(rows, i, j) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' keys, as ``_by_document`` has them."""
+    return tuple(rows["k"][x] for x in _by_document(rows, i, j))
+
+
+def _closest(rows, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of fitting pairs, for each later entry the ``CLOSE`` ones whose signatures are nearest, as entries (earlier, later); and the entries of all other pairs."""
+    earlier, later = _by_document(rows, i, j)
+    order = np.lexsort((_apart(rows, earlier, later) / (rows["size"][earlier] + rows["size"][later]), later))
+    earlier, later = earlier[order], later[order]
+    begins = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else np.zeros(0, np.int64)
+    near = np.arange(len(later)) - np.repeat(begins, np.diff(np.append(begins, len(later)))) < CLOSE
+    return earlier[near], later[near], np.concatenate([earlier[~near], later[~near]])
 
 
 def _columns(batch, names) -> dict:
@@ -509,7 +534,10 @@ def _bucket_candidates(batches):
 
 
 def _candidates(parts, long_lists):
-    """Parts of whole lists: fitting pairs (a, b); of lists beyond LONG rows each class with one earlier one alone, and the entries once more (b null)."""
+    """Parts of whole lists: of each class's fitting pairs (a, b) the closest, and the entries of pairs beyond these once more (b null).
+
+    Of lists beyond LONG rows each class with one earlier one alone, and all entries once more.
+    """
     leads: dict[int, dict] = {}  # of the long list in hand: by size, the entry of the earliest document
     kinds = dict.fromkeys(_ENTRY, np.int64)
     for rows in parts:
@@ -521,9 +549,13 @@ def _candidates(parts, long_lists):
         a, b, again = [], [], []
         if len(short):
             part = {n: v[short] for n, v in rows.items()}
+            others = np.zeros(len(short), bool)
             for i, j in _windows(part):
-                for side, keys in zip((a, b), _oriented(part, i, j)):
-                    side.append(keys)
+                earlier, later, more = _closest(part, i, j)
+                a.append(part["k"][earlier])
+                b.append(part["k"][later])
+                others[more] = True
+            again.append(short[others])
         for start, count in zip(starts[long_].tolist(), counts[long_].tolist()):
             part = {n: v[start : start + count] for n, v in rows.items()}
             if leads.get("token") != int(token[start]):
@@ -584,10 +616,11 @@ def _verify(batches):
         yield {"k": pa.array(found, pa.int64())}
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """k of the later class of each similar pair. Both joins use the buckets of ``sets``: only the pairs are shuffled."""
+def _verified(pairs: DataFrame, sets: DataFrame, *hint: str) -> DataFrame:
+    """k of the later class of each similar pair. Both joins use the buckets of ``sets``: only the pairs are shuffled (and hashed, with the hint, so that no set is sorted)."""
     side = lambda n: sets.select(F.col("k").alias(n), F.struct("id", "tie", "line").alias(f"{n}_at"), F.col("tokens").alias(f"{n}_tokens"), F.col("rare").alias(f"{n}_rare"))
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    hinted = lambda df: df.hint(*hint) if hint else df
+    both = hinted(hinted(pairs.select("a", "b").distinct()).join(side("a"), "a")).join(side("b"), "b")
     later = F.when(F.col("a_at") > F.col("b_at"), F.col("a")).otherwise(F.col("b"))
     return map_arrow(both.select(later.alias("later"), "a_tokens", "a_rare", "b_tokens", "b_rare"), _verify, "k long").distinct()
 
@@ -614,7 +647,7 @@ def repeated_lines(documents: DataFrame, scratch: Scratch) -> DataFrame:
         return _repeated(spark, ready, name, ranks, parts, scratch)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        for old in ("word_parts", "classes", "offered", "pairs", "gone", "more"):
+        for old in ("word_parts", "classes", "offered", "gone", "more"):
             scratch.drop(old)
         release_shuffles(spark)
 
@@ -637,16 +670,13 @@ def _repeated(spark, ready: DataFrame, name: str, ranks, parts: int, scratch: Sc
     rows_ = map_arrow(rows_.repartition("token").sortWithinPartitions("token", "at"), _hot_candidates, offer)
     offered = scratch.write(offered.union(rows_), "offered")
     release_shuffles(spark)
-    pairs = scratch.write(offered.filter("b is not null").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    # First each class against the ones closest to it; the rest only for those left unmatched.
+    gone = scratch.write(_verified(offered.filter("b is not null"), sets, "shuffle_hash"), "gone")
     release_shuffles(spark)
-    # First each class against the one it shares most of its prefix with; the rest only for those left unmatched.
-    best = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    gone = scratch.write(_verified(best, sets), "gone")
     matched = gone.select(F.col("k").alias("b"))
-    others = pairs.select("a", "b").join(matched, "b", "left_anti").select("a", "b")
     open_ = offered.filter("b is null").join(gone.select("k", F.lit(True).alias("matched")), "k", "left").select(*_ENTRY, F.col("matched").isNull().alias("open"))
     rest = map_arrow(open_.repartition("token").sortWithinPartitions("token", "at"), _rest, "a long, b long")
-    more = scratch.write(_verified(others.union(rest.join(matched, "b", "left_anti").select("a", "b")), sets), "more")
+    more = scratch.write(_verified(rest.join(matched, "b", "left_anti"), sets), "more")
     release_shuffles(spark)
 
     similar = sets.join(gone.union(more).distinct(), "k", "left_semi").select("id", "tie", "line")

@@ -62,6 +62,30 @@ def test_similar_sizes_share_a_band_or_lie_in_neighbouring_ones():
     assert all(band[min(5 * s // 4, 2_999) - 1] - band[s - 1] <= 1 for s in sizes.tolist())
 
 
+def test_swarms_and_large_sets_offer_few_pairs():
+    """Near copies give each class a few pairs a list, not all; sets of many words that share a few of them hardly any."""
+    rng = np.random.default_rng(9)
+    base = [f"s{k}" for k in range(100)]
+    swarm = [" ".join(base[:k] + base[k + 1 :]) for k in range(100)]
+    large = [" ".join(f"w{k}" for k in rng.choice(2_000, 200, replace=False)) for _ in range(200)]
+
+    def offered(texts):
+        pa, ranks = line_dedup.pa, type("Held", (), {"value": line_dedup.Ranks(np.zeros(0, np.uint64), np.zeros(0, np.int64))})
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["id", "tie", "text"])
+        (sets,) = line_dedup._token_rows(ranks)([batch])
+        names = ("k", "id", "size", "s1", "s2", "rare", "tokens")
+        rows = line_dedup._prefix_rows(pa.RecordBatch.from_arrays([sets[n] for n in names], names=list(names)))
+        order = np.lexsort((rows["at"], rows["token"]))
+        rows = {n: v[order] for n, v in rows.items()} | {"size": rows["at"][order] >> 32, "place": rows["at"][order] & 0xFFFFFFFF}
+        found = [r for t in line_dedup._candidates([rows], set()) for r in pa.table(t).to_pylist()]
+        return rows, [(r["a"], r["b"]) for r in found if r["b"] is not None], [r["k"] for r in found if r["b"] is None]
+
+    rows, pairs, again = offered(swarm)
+    assert 0 < len(pairs) <= 2 * len(rows["token"]) and set(itertools.chain(*pairs)) | set(again) <= set(rows["k"].tolist())
+    assert 0 < len(again) <= len(rows["token"])
+    assert len(set(offered(large)[1])) < 0.01 * 200 * 199 / 2
+
+
 def test_sets_that_share_a_key_are_classes_of_their_own():
     """Rows of (k, k2) in order, cut into batches at every place."""
     pairs = [(16, 1), (16, 1), (16, 2), (16, 3), (16, 3), (32, 1), (32, 1), (48, 5)]
