@@ -17,9 +17,10 @@ texts of one document: each keeps its row, and they share that document's compon
 documents of their own that name no component: one with no named member has a null component_id. Extra columns
 are ignored by ``near_duplicates`` and kept by ``without_near_copies``.
 
-``near_copies`` links by exact Jaccard similarity of shingle sets, 0.8 or more, which lies about ten bits of a fingerprint apart:
-no trie over 64 bits prunes at a budget that catches that. Candidates share one of 32 bands of 4 min-hashes (a
-pair at 0.8 has none with probability 5e-8); each is verified on whole sets. Texts without words are equal to each other.
+``near_copies`` links by the same trie join over fingerprints of its longer shingles, and besides by exact Jaccard similarity of
+shingle sets, 0.8 or more. That lies about ten bits of a fingerprint apart, a budget at which no trie over 64 bits prunes, so for these
+pairs candidates share one of 32 bands of 4 min-hashes (a pair at 0.8 has none with probability 5e-8); each is verified on whole
+sets. Texts without words are equal to each other.
 """
 
 from __future__ import annotations
@@ -312,20 +313,22 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(documents: DataFrame, words: int, whole: bool) -> DataFrame:
-    """doc_id, node (a hash of the shingle set), its size, and the set itself (``whole``) or its band keys, as bytes."""
+    """doc_id, node (a hash of the shingle set), its size, and the set itself (``whole``) or its band keys, as bytes; fp, the fingerprint, unless ``whole``."""
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("node", "size", "data")}
+            out = {k: [] for k in ("node", "size", "data", "fp")}
             for text in batch.column(1).cast(pa.large_binary()):
-                own = np.unique(shingle_hashes((text.as_py() or b"").lower(), words))
+                hashes = shingle_hashes((text.as_py() or b"").lower(), words)
+                own = np.unique(hashes)
+                out["fp"].append(0 if whole else majority(hashes))
                 out["node"].append(xxhash.xxh64_intdigest(own.tobytes()))
                 out["size"].append(len(own))
                 out["data"].append((own if whole else band_keys(own)).tobytes())
-            yield {"doc_id": batch.column(0), "node": pa.array(as_signed(np.array(out["node"], np.uint64))), "size": out["size"], "data": out["data"]}
+            yield {"doc_id": batch.column(0), "node": pa.array(as_signed(np.array(out["node"], np.uint64))), "size": out["size"], "data": out["data"], "fp": pa.array(as_signed(np.array(out["fp"], np.uint64)))}
 
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id")
-    return map_arrow(documents.select(id_, F.col("text").cast("string")), run, "doc_id long, node long, size long, data binary")
+    return map_arrow(documents.select(id_, F.col("text").cast("string")), run, "doc_id long, node long, size long, data binary, fp long")
 
 
 def _exploded(nodes: DataFrame) -> DataFrame:
@@ -352,9 +355,20 @@ def _alike(batches):
         yield {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
 
-def near_copies(documents: DataFrame, scratch: Scratch, words: int = 5) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, component_id: the smallest doc_id reachable over pairs of similarity 0.8 or more."""
+def _near_prints(prints: DataFrame, budget: int) -> DataFrame:
+    """prints(node, fp) -> a, b: links among nodes that span those of fingerprints at ``budget`` or fewer differing bits."""
+    own = prints.select("node", "fp").distinct()
+    least = own.groupBy("fp").agg(F.min("node").alias("least"))
+    equal = own.join(least, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    x, y = least.toDF("a", "node_a"), least.toDF("b", "node_b")
+    return equal.union(links(least, budget).join(x, "a").join(y, "b").select("node_a", "node_b"))
+
+
+def near_copies(documents: DataFrame, scratch: Scratch, words: int = 5, budget: int = 3) -> DataFrame:
+    """documents(doc_id, text) -> doc_id, component_id: the smallest doc_id reachable over pairs whose fingerprints differ in at most
+    ``budget`` bits or whose similarity is 0.8 or more."""
     prints = scratch.write(_sets(documents, words, False), "sets")
+    bits = scratch.write(_near_prints(prints, budget), "bits")
     nodes = prints.dropDuplicates(["node"])
     keyed = _exploded(nodes)
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -374,7 +388,7 @@ def near_copies(documents: DataFrame, scratch: Scratch, words: int = 5) -> DataF
     sizes = members.select(F.col("node").alias("least"), F.col("size").alias("sb")).distinct()
     stars = members.filter("node <> least").select("node", F.col("size").alias("sa"), "least").distinct().join(sizes, "least").filter(near())
     stars = scratch.write(stars.select(F.col("node").alias("a"), F.col("least").alias("b")), "stars")
-    found = verified(stars, "alike")
+    found = verified(stars, "alike").union(bits)
     ties = prints.filter(F.col("doc_id") != NULL_ID).groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a <> b").select("doc_id", "b")
     ties = scratch.write(prints.select("doc_id", "node").join(ties, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b"), "ties")
     roots = components(found.union(ties), scratch, "first")

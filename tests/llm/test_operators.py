@@ -231,6 +231,18 @@ def test_simhash_nulls_repeats_and_stage(spark):
     assert simhash.near_duplicates(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_near_copies_link_by_fingerprints_too(spark):
+    """Five-word fingerprints within three bits link, also where few of the shingles are shared: here a passage that both texts repeat."""
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{k}" for k in range(21))
+    texts = [" ".join([passage] * 80 + [f"x{rng.integers(9_000)}" for _ in range(30)]) for _ in range(2)]
+    texts += [" ".join(f"y{rng.integers(9_000)}" for _ in range(60)) for _ in range(3)]
+    fps = [simhash_oracle(t, 5) for t in texts]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    assert components_oracle(fps) == [0, 0, 2, 3, 4] and 5 * len(sets[0] & sets[1]) < 4 * len(sets[0] | sets[1])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame(spark, texts), Scratch(spark, "t")).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+
+
 def test_near_copies_are_brute_force(spark):
     """Texts re-wrapped and edited, a fifth of them too much: components of Jaccard 0.8 or more on five-word shingles."""
     rng = np.random.default_rng(6)
