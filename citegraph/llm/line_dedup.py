@@ -88,6 +88,12 @@ def hashed_words(texts: pa.Array, block: int = 1 << 17) -> tuple[np.ndarray, np.
 
 
 def _block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, sizes, line, first_lines = block_spans(data, offsets)
+    return word_hashes(data, starts, sizes), line, first_lines
+
+
+def block_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts on end: where each word starts, its size and line, and each text's first line number plus the end."""
     breaks = np.flatnonzero(data == 10)
     # A text begins a line of its own, empty or not.
     first_lines = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
@@ -102,18 +108,20 @@ def _block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if len(split):
         starts, ends = np.sort(np.concatenate([starts, split])), np.sort(np.concatenate([ends, split]))
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), first_lines
+        return starts, starts, starts, first_lines
     # Line breaks and texts' beginnings passed by each word.
     passed = np.bincount(np.searchsorted(starts, np.concatenate([breaks, offsets])), minlength=len(starts) + 1)[:-1]
     line = np.cumsum(passed) - 1
-    return _word_hashes(data, starts, ends - starts), line, first_lines
+    return starts, ends - starts, line, first_lines
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of words, eight bytes of each at a time."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    value = sizes.astype(np.uint64) * _ODD
+    value = sizes.astype(np.uint64) * _ODD + np.uint64(seed)
     at, left, own = starts, sizes, np.arange(len(starts))
     while len(own):
         block = eight[at]
@@ -123,7 +131,7 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
         going = (left > 8) & (sizes[own] <= _WIDE)
         own, at, left = own[going], at[going] + 8, left[going] - 8
     for i in np.flatnonzero(sizes > _WIDE):
-        value[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
+        value[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes(), seed)
     return value
 
 

@@ -10,8 +10,8 @@ not shuffled. Rows whose fingerprint occurs in history, or twice in the batch, a
 that stands in an older batch, or earlier in its own (smaller doc_id, earlier start), is a repeat. Then ``fanout`` neighbouring runs
 of a level are merged into one of the next, where of rows with the same windows the oldest stays. A batch never reads an older text.
 
-Verification: fingerprints come from one half of a word's 128-bit hash, verifying hashes of all ``WINDOW`` words from the other,
-so windows that count as equal agree in a hash of 64 bits besides the 64 of the fingerprint, drawn from independent bits of each word.
+Verification: fingerprints come from one 64-bit hash of a word, verifying hashes of all ``WINDOW`` words from another with its own seed,
+so windows that count as equal agree in a hash of 64 bits besides the 64 of the fingerprint. Words of up to eight bytes and equal length collide in neither.
 
 Hot passages: each task first settles the repeats among its own rows; only its first occurrences of a window go
 through the shuffle, so a passage that a third of all documents share arrives once for each slice of 8 MB of text. Fingerprints of more
@@ -30,11 +30,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.llm.common import NULL_ID, Scratch, as_signed, map_arrow, release_shuffles
+from citegraph.llm.line_dedup import block_spans, word_hashes
 
 WINDOW = 20
 GRAM = 5
@@ -42,9 +42,11 @@ FANOUT = 4
 BATCHES = 4
 #: Rows of a fingerprint from which they are split by window.
 HOT = 100_000
+#: A bucket of a run is one sorted file: with this setting joins read it in order and don't sort it again.
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 _SHIFTS = (1, 2, 4, 8)  # least of 16 neighbours, by doubling
 assert WINDOW - GRAM + 1 == 16
-_HALF = (1 << 64) - 1
+_SEED = 0xD6E8FEB86659FD93
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,48 +75,22 @@ def _rolling(words: np.ndarray, length: int, factor: int) -> np.ndarray:
     return _mix(total)
 
 
-class WordHashes(dict):
-    """Word (bytes) -> its place in two arrays, the halves of its 128-bit hash; forgets all at a text's beginning once it knows a million."""
-
-    def __init__(self) -> None:
-        self.low, self.high = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self)
-        if at == len(self.low):
-            self.low, self.high = (np.concatenate([x, np.zeros(at, np.uint64)]) for x in (self.low, self.high))
-        value = xxhash.xxh3_128_intdigest(word)
-        self.low[at], self.high[at] = value & _HALF, value >> 64
-        self[word] = at
-        return at
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > 1_000_000:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.low[at], self.high[at]
-
-
-class Windows:
-    """Window fingerprints and verifying hashes of one text."""
-
-    def __init__(self, text: bytes, hashed: WordHashes) -> None:
-        self.low, self.high = hashed.of(text.split())
-
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows that share a fingerprint: fingerprint, first window, windows."""
-        if len(self.low) < WINDOW:
-            none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none
-        least = _rolling(self.low, GRAM, 0x9E3779B97F4A7C15)
-        for shift in _SHIFTS:
-            least = np.minimum(least[:-shift], least[shift:])
-        begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        return least[begin], begin, np.diff(np.append(begin, len(least)))
-
-    def hashes(self) -> np.ndarray:
-        """The verifying hash of every window."""
-        return _rolling(self.high, WINDOW, 0xC2B2AE3D27D4EB4F)
+def hashed_texts(texts: pa.Array, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of texts without nulls: two independent 64-bit hashes of every word, and each text's number of words; in blocks that fit a processor's cache."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    low, high, counts, begin = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + block, side="right")) - 1)
+        part = offsets[begin : end + 1]
+        own = data[part[0] : part[-1]]
+        starts, sizes, _, _ = block_spans(own, part - part[0])
+        low.append(word_hashes(own, starts, sizes))
+        high.append(word_hashes(own, starts, sizes, _SEED))
+        counts.append(np.diff(np.searchsorted(starts, part - part[0])))
+        begin = end
+    return np.concatenate(low), np.concatenate(high), np.concatenate(counts)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -164,7 +140,7 @@ class FingerprintIndex:
         return self._tables[-1]
 
     def _write(self, rows: DataFrame, run: tuple) -> None:
-        """rows are partitioned by bucket and sorted by fp."""
+        """rows are partitioned by bucket; the writer sorts them by fp."""
         fs, path = self._fs()
         fs.delete(path(self._folder(run)), True)
         writer = rows.write.bucketBy(run[3], "fp").sortBy("fp").format("parquet")
@@ -183,17 +159,20 @@ class FingerprintIndex:
 
     def append(self, batch: DataFrame, scratch: Scratch, compact: bool = True) -> DataFrame:
         """A new run for a batch of documents (id, tie, text) -> id, tie, begin, count: the batch's windows that are repeats, as stretches."""
+        before = self.spark.conf.get(_ORDERED)
         try:
+            self.spark.conf.set(_ORDERED, "true")
             history = self.runs()
             turn = history[-1][2] + 1 if history else 0
             run = (0, turn, turn, self.buckets)
             rows = map_arrow(batch, _entries(turn), ENTRY)
-            self._write(rows.repartition(self.buckets, "fp").sortWithinPartitions("fp"), run)
+            self._write(rows.repartition(self.buckets, "fp"), run)
             release_shuffles(self.spark)
             gone = self._merge_join(run, history, scratch)
             if compact:
                 self.compact()
         finally:
+            self.spark.conf.set(_ORDERED, before)
             self.close()
         return gone
 
@@ -231,7 +210,7 @@ class FingerprintIndex:
                 rows = rows.union(self._read(run))
             turn = Window.partitionBy("fp", "digests").orderBy("batch", "id", "tie", "begin")
             merged = rows.filter("digests is not null").withColumn("turn", F.row_number().over(turn)).filter("turn = 1").drop("turn")
-            self._write(merged.sortWithinPartitions("fp"), (level + 1, due[0][1], due[-1][2], due[0][3]))
+            self._write(merged, (level + 1, due[0][1], due[-1][2], due[0][3]))
             fs, path = self._fs()
             for r in due:
                 fs.delete(path(self._folder(r)), True)
@@ -254,21 +233,23 @@ def _entries(turn: int):
     """The rows of a batch's run: runs of windows, without those that hold nothing but repeats of their slice; these as settled stretches."""
 
     def run(batches):
-        hashed = WordHashes()
         for batch in batches:
             ids, ties = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            fps, begins, counts, rows, digests = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64, np.uint64))
-            for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
-                windows = Windows(text.as_py(), hashed)
-                found, begin, count = windows.fingerprints()
-                for held, part in ((fps, found), (begins, begin), (counts, count), (rows, np.full(len(found), i)), (digests, windows.hashes())):
-                    held.append(part)
-            rfp, rbegin, rcount, rrow, digest = map(np.concatenate, (fps, begins, counts, rows, digests))
-            if not len(rfp):
+            low, high, words = hashed_texts(batch.column(2))
+            text_of = np.repeat(np.arange(len(words)), words)
+            # All texts on end; a window counts if its first and its last word are of one text.
+            place = np.flatnonzero(text_of[: -WINDOW + 1] == text_of[WINDOW - 1 :])
+            if not len(place):
                 continue
+            least = _rolling(low, GRAM, 0x9E3779B97F4A7C15)
+            for shift in _SHIFTS:
+                least = np.minimum(least[:-shift], least[shift:])
+            fp, row, digest = least[place], text_of[place], _rolling(high, WINDOW, 0xC2B2AE3D27D4EB4F)[place]
+            at = place - (np.cumsum(words) - words)[row]
+            # Runs of windows that share a fingerprint.
+            heads = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])]))
+            rfp, rbegin, rrow, rcount = fp[heads], at[heads], row[heads], np.diff(np.append(heads, len(fp)))
             ends = np.cumsum(rcount)
-            fp, row = np.repeat(rfp, rcount), np.repeat(rrow, rcount)
-            at = np.arange(len(fp)) - np.repeat(ends - rcount, rcount) + np.repeat(rbegin, rcount)
             later = np.zeros(len(fp), bool)
             both = digest ^ _mix(fp)
             order = np.argsort(both)
@@ -374,8 +355,12 @@ def _apply(batches):
         out = {k: [] for k in ("id", "n_words", "n_removed", "kept")}
         for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist()):
             words = text.as_py().split()
+            if not spans:
+                for k, v in zip(out, (None if doc_id == NULL_ID else doc_id, len(words), 0, b" ".join(words).decode())):
+                    out[k].append(v)
+                continue
             steps = np.zeros(len(words) + 1, np.int64)
-            for span in spans or ():
+            for span in spans:
                 steps[span["begin"]] += 1
                 steps[span["begin"] + span["count"] - 1 + WINDOW] -= 1
             gone = np.cumsum(steps[:-1]) > 0

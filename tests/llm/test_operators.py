@@ -181,6 +181,38 @@ def test_substring_second_batch_meets_history(spark, texts, appended):
     assert expected[len(batch) - 3][1] >= 30 and expected[len(batch) - 1][1] == 0
 
 
+def test_substring_history_is_read_in_order(spark, texts):
+    """A batch meets the runs before it in a merge join that neither shuffles nor sorts them."""
+    plans = []
+
+    class Spy(Scratch):
+        def write(self, df, name, codec="zstd"):
+            if name.startswith("known"):
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().write(df, name, codec)
+
+    scratch = Spy(spark, "t")
+    index = substring_dedup.FingerprintIndex(spark, f"{scratch.root}/index")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for part in ("doc_id < 20", "doc_id >= 20"):
+            index.append(substring_dedup.keyed(frame(spark, texts).filter(part)), scratch)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plans[1] and "Sort [" not in plans[1] and "Exchange" not in plans[1]
+
+
+def test_substring_hashes_are_of_whole_words():
+    texts = ["one two\tthree", "", " ", "two", "x" * 5_000 + " é\u00a0ü\none", "longer-than-eight-bytes longer-than-eight-bytez"]
+    low, high, counts = substring_dedup.hashed_texts(line_dedup.pa.array(texts), block=8)
+    parts = [w for t in texts for w in t.encode().split()]
+    assert counts.tolist() == [len(t.encode().split()) for t in texts]
+    for hashes in (low.tolist(), high.tolist()):
+        assert [hashes.index(h) for h in hashes] == [parts.index(w) for w in parts]
+    assert not set(low.tolist()) & set(high.tolist())
+
+
 def simhash_oracle(text, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) > n else [" ".join(w)] if w else []
