@@ -90,3 +90,14 @@ def test_strip_identity_of_the_ledger(spark, ledger):
                 expected.append((uri, n, line))
     found = [tuple(r) for r in queries.QUERIES["op_snk_7_strip_identity"](spark, SF).collect()]
     assert sorted(found) == sorted(expected) and {u.split("/")[0] for u, _, _ in found} == {"customer", "supplier", "nation", "region"}
+
+
+def test_search_lines_of_odd_documents(spark, tmp_path):
+    """A text without lines, null texts, equal and null keys: a row each, as in the SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = [(1, ""), (2, None), (3, "\n"), (4, "\n\na"), (5, "a\r\nb\n"), (5, "zwölf"), (None, "x\n\n"), (None, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rows = [tuple(r) for r in queries.QUERIES["op_lex_search_lines"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, con.execute(queries.ORACLE_SQL["op_lex_search_lines"]).fetchall())) and len(rows) == len(texts)
